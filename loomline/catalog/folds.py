@@ -132,16 +132,16 @@ def task_log(spark, d):
     events = load(spark, d, "events")
     return events.select(
         F.col("event_id").alias("task_id"), (F.col("user_id") % 8).alias("worker_id"), start.alias("start_time"),
-        F.when(F.col("event_type") == "logout", 0.0).otherwise(start + F.col("value")).alias("end_time"),
-        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "logout", "running")
+        F.when(F.col("event_type") == "signup", 0.0).otherwise(start + F.col("value")).alias("end_time"),
+        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "running")
         .otherwise("completed").alias("status"), F.col("value").alias("duration"))
 
 
 @query("execution_summary", """
-WITH t AS (SELECT epoch_us(ts) / 1e6 AS s, CASE WHEN event_type <> 'logout' THEN epoch_us(ts) / 1e6 + value END AS e, value, event_type FROM events)
-SELECT count(*) AS total, count(*) FILTER (event_type NOT IN ('error', 'logout')) AS completed, count(*) FILTER (event_type = 'error') AS failed,
-  round(count(*) FILTER (event_type NOT IN ('error', 'logout')) / count(*), 6) AS success_rate, round(avg(e - s), 4) AS avg_duration,
-  round(count(*) FILTER (event_type NOT IN ('error', 'logout')) / (max(e) - min(s)), 8) AS throughput FROM t""")
+WITH t AS (SELECT epoch_us(ts) / 1e6 AS s, CASE WHEN event_type <> 'signup' THEN epoch_us(ts) / 1e6 + value END AS e, value, event_type FROM events)
+SELECT count(*) AS total, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS completed, count(*) FILTER (event_type = 'error') AS failed,
+  round(count(*) FILTER (event_type NOT IN ('error', 'signup')) / count(*), 6) AS success_rate, round(avg(e - s), 4) AS avg_duration,
+  round(count(*) FILTER (event_type NOT IN ('error', 'signup')) / (max(e) - min(s)), 8) AS throughput FROM t""")
 def _(spark, d):
     return analytics.execution_summary(task_log(spark, d)).withColumns({
         "success_rate": F.round("success_rate", 6), "avg_duration": F.round("avg_duration", 4),
