@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.functions.text import find_all
+from loomline.functions.text import find_all, let, strip
 
 # ---------------------------------------------------------------- source-code facts
 
@@ -125,7 +125,7 @@ ROOT_ELEMENTS = ("Item", "Rectangle", "Button", "Text", "Window", "ApplicationWi
 
 def brackets_balanced(c: Column) -> Column:
     """Every closing bracket meets its own kind, and none stays open."""
-    marks = F.split(F.regexp_replace(c, r"[^()\[\]{}]", ""), "")
+    marks = F.split(F.regexp_replace(c, r"[^()\[\]{}]+", ""), "")
     pair = lambda x: F.translate(x, ")]}", "([{")
 
     def step(stack, mark):
@@ -143,7 +143,8 @@ def _report(c: Column, short: str, errors: list[Column], warnings: list[Column])
     no_text = F.array().cast("array<string>")
     found = F.when(too_short, F.array(F.lit(short))).otherwise(F.array_compact(F.concat(*errors)))
     noted = F.when(too_short, no_text).otherwise(F.array_compact(F.concat(*warnings)))
-    return F.struct((F.size(found) == 0).alias("valid"), found.alias("errors"), noted.alias("warnings"))
+    return let(F.struct(found.alias("e"), noted.alias("w")), lambda r: F.struct(
+        (F.size(r["e"]) == 0).alias("valid"), r["e"].alias("errors"), r["w"].alias("warnings")))
 
 
 def _one(test: Column, message) -> Column:
@@ -157,8 +158,9 @@ def count_of(c: Column, char: str) -> Column:
 def check_haskell(c: Column) -> Column:
     signature = r"(?U)(\w+)\s*::\s*([^\n=]+)"
     pairs = F.arrays_zip(find_all(c, signature, 1).alias("n"), find_all(c, signature, 2).alias("s"))
-    empty = F.transform(F.filter(pairs, lambda p: p["s"].rlike(r"(?U)^\s*$")),
+    empty = F.transform(F.filter(pairs, lambda p: strip(p["s"]) == ""),
                         lambda p: F.concat(F.lit("Empty type signature for "), p["n"]))
+    empty = F.when(c.contains("::"), empty).otherwise(F.array().cast("array<string>"))
     return _report(c, "Empty or too short content",
                    [_one(~brackets_balanced(c), "Unbalanced brackets or parentheses"), empty],
                    [_one(~c.contains("module") & ~c.contains("import"), "No module or import declarations found")])
@@ -166,7 +168,7 @@ def check_haskell(c: Column) -> Column:
 
 def check_sql(c: Column, first: int = 5) -> Column:
     """The first statements are looked at for their kind; the counts cover the whole text."""
-    statements = F.filter(F.transform(F.split(c, ";"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    statements = F.filter(F.transform(F.split(c, ";"), strip), lambda s: s != "")
     known = lambda s: reduce(lambda a, b: a | b, [F.startswith(F.upper(s), F.lit(k)) for k in STATEMENTS])
     odd = F.transform(F.filter(F.slice(statements, 1, first), lambda s: ~known(s)),
                       lambda s: F.concat(F.lit("Unknown statement type: "), F.substring(s, 1, 30)))
@@ -248,7 +250,7 @@ def strip_fences(c: Column, language: str) -> Column:
 
 def clean_answer(c: Column) -> Column:
     """JSON text without its fences and control characters."""
-    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = strip(c)
     for pattern in (r"(?U)^```json\s*", r"(?U)^```\s*", r"(?U)\s*```$"):
         t = F.regexp_replace(t, pattern, "")
     return F.regexp_replace(t, r"[\x00-\x1f\x7f-\x9f]", "")

@@ -19,11 +19,25 @@ URL_FORM = r"(?U)^https?://[\w.-]+\.\w+"
 UUID_FORM = r"^(?:urn:)?(?:uuid:)?\{*[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}*$"
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside nested lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+# White space as Python's strip() sees it.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """The text without white space at both ends."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 # ---------------------------------------------------------------- naming
 
 
 def slugify(c: Column) -> Column:
-    kept = F.regexp_replace(F.lower(c), r"(?U)[^\w\s-]", "")
+    kept = F.regexp_replace(F.lower(c), r"(?U)[^\w\s-]+", "")
     return F.regexp_replace(F.regexp_replace(kept, r"(?U)[-\s]+", "-"), "^-+|-+$", "")
 
 
@@ -51,8 +65,8 @@ def acronym_snake(c: Column) -> Column:
 
 
 def snake_to_camel(c: Column) -> Column:
-    parts = F.split(c, "_")
-    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), title_case), ""))
+    return let(F.split(c, "_"), lambda parts: F.concat(
+        parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), title_case), "")))
 
 
 def upper_camel(c: Column) -> Column:
@@ -88,7 +102,9 @@ def is_ip(c: Column) -> Column:
 
 def sensitive_tokens(df: DataFrame, text: str) -> DataFrame:
     """One row per white-space token that is an email, a URL or an IP address, with its mask."""
-    tokens = df.withColumn("token", F.explode(F.split(F.col(text), r"\s+")))
+    # a cheap test inside the array first: only tokens that can be one of the kinds become rows
+    likely = F.filter(F.split(F.col(text), r"\s+"), lambda t: t.contains("@") | t.startswith("http") | t.rlike(r"^\d+\."))
+    tokens = df.withColumn("token", F.explode(likely))
     t = F.col("token")
     kind = F.when(is_email(t), "email").when(is_url(t), "url").when(is_ip(t), "ip")
     return tokens.withColumn("kind", kind).filter("kind is not null").withColumn("masked", mask(t)).drop(text)
@@ -132,9 +148,11 @@ def html_unescape(values: pd.Series) -> pd.Series:
 
 def last_wins_map(keys: Column, values: Column) -> Column:
     """Map from two arrays where a repeated key takes its last value."""
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
-    return F.map_from_entries(last)
+    def build(s):
+        pairs = F.arrays_zip(s["k"], s["v"])
+        last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(s["k"], i + 2, F.size(s["k"])), p["k"]))
+        return F.map_from_entries(last)
+    return let(F.struct(keys.alias("k"), values.alias("v")), build)
 
 
 def parse_attributes(c: Column) -> Column:
@@ -164,9 +182,9 @@ def domain(c: Column) -> Column:
 def decode_params(query: Column) -> Column:
     """Map of ``k=v`` pairs, percent-decoded; blank values are dropped, a repeated key takes the last."""
     pairs = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=."))
-    keys = F.transform(pairs, lambda p: F.try_url_decode(F.regexp_extract(p, "^([^=]*)=", 1)))
-    values = F.transform(pairs, lambda p: F.try_url_decode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))
-    return last_wins_map(keys, values)
+    return let(pairs, lambda ps: last_wins_map(
+        F.transform(ps, lambda p: F.try_url_decode(F.regexp_extract(p, "^([^=]*)=", 1))),
+        F.transform(ps, lambda p: F.try_url_decode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))))
 
 
 def encode_params(params: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomline.operators.graph.edges import both_directions
 from loomline.operators.graph.traverse import bfs_levels, connected_components
 from loomline.plans.ordered import ordered_window, running
-from loomline.session import materialize
+from loomline.session import materialize, materialize_some
 
 
 def _up_the_levels(tree: DataFrame, depth: int, columns: dict[str, str]) -> DataFrame:
@@ -59,12 +59,12 @@ def block_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     offsets = ordered_window(inner, ["node"], {"_upto": running("sum", F.col("size"))}, keys=["parent"])
     offsets = offsets.select("node", (F.col("_upto") - F.col("size") + 1).alias("pre"))
     # preorder = sum of the offsets on the way to the root, by pointer jumping
-    ranked = materialize(sized.join(offsets, "node", "left").select(
-        "node", F.coalesce("pre", F.lit(0)).alias("pre"), F.col("parent").alias("up")), "pre")
-    while not ranked.filter("up is not null").isEmpty():
+    ranked, more = materialize_some(sized.join(offsets, "node", "left").select(
+        "node", F.coalesce("pre", F.lit(0)).alias("pre"), F.col("parent").alias("up")), "pre", F.col("up").isNotNull())
+    while more:
         above = ranked.select(F.col("node").alias("_n"), F.col("pre").alias("_p"), F.col("up").alias("_u"))
-        ranked = materialize(ranked.join(above, F.col("up") == F.col("_n"), "left").select(
-            "node", (F.col("pre") + F.coalesce("_p", F.lit(0))).alias("pre"), F.col("_u").alias("up")), "pre")
+        ranked, more = materialize_some(ranked.join(above, F.col("up") == F.col("_n"), "left").select(
+            "node", (F.col("pre") + F.coalesce("_p", F.lit(0))).alias("pre"), F.col("_u").alias("up")), "pre", F.col("up").isNotNull())
     placed = materialize(sized.join(ranked.drop("up"), "node"), "placed")
 
     side = placed.select("node", "parent", "pre", "size")
@@ -120,9 +120,9 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     """
     flat = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
     best = F.min(F.struct("w", "src", "dst")).alias("e")
-    work = materialize(flat.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(best), "mst")
+    work, more = materialize_some(flat.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(best), "mst")
     chosen = []
-    while not work.isEmpty():
+    while more:
         out = work.select(F.col("a").alias("c"), F.col("b").alias("o"), "e").unionByName(
             work.select(F.col("b").alias("c"), F.col("a").alias("o"), "e"))
         picks = materialize(out.groupBy("c").agg(F.min(F.struct("e", "o")).alias("x")).select("c", "x.e", F.col("x.o").alias("p")), "picks")
@@ -131,17 +131,16 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
         back = picks.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
         root = F.col("_p").eqNullSafe(F.col("c")) & (F.col("c") < F.col("p"))
         heads = picks.join(back, F.col("p") == F.col("_c")).select("c", F.when(root, F.col("c")).otherwise(F.col("p")).alias("p"))
-        while True:
-            heads = materialize(heads, "heads")
+        heads = materialize(heads, "heads")
+        jumping = True
+        while jumping:
             up = heads.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
-            jumped = heads.join(up, F.col("p") == F.col("_c"))
-            if jumped.filter("p <> _p").isEmpty():
-                break
-            heads = jumped.select("c", F.col("_p").alias("p"))
+            jumped = heads.join(up, F.col("p") == F.col("_c")).select("c", F.col("_p").alias("p"), (F.col("p") != F.col("_p")).alias("moved"))
+            heads, jumping = materialize_some(jumped, "heads", F.col("moved"))
         ha = heads.select(F.col("c").alias("a"), F.col("p").alias("_a"))
         hb = heads.select(F.col("c").alias("b"), F.col("p").alias("_b"))
         merged = work.join(ha, "a").join(hb, "b").filter("_a <> _b")
-        work = materialize(merged.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e")), "mst")
+        work, more = materialize_some(merged.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e")), "mst")
     if not chosen:
         return flat.limit(0)
     return reduce(DataFrame.unionByName, chosen).distinct()

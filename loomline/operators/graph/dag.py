@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.session import materialize
+from loomline.session import materialize, materialize_some
 
 
 def topological_layers(items: DataFrame, deps: DataFrame) -> DataFrame:
@@ -24,9 +24,9 @@ def topological_layers(items: DataFrame, deps: DataFrame) -> DataFrame:
     state = known.join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need"))
     done, layer = [], 0
     while True:
-        state = materialize(state.withColumn("ready", F.col("need") <= 0), "layers", partition_by="ready")
+        state, more = materialize_some(state.withColumn("ready", F.col("need") <= 0), "layers", F.col("ready"), "ready")
         ready, rest = state.filter("ready").select("id"), state.filter("not ready")
-        if ready.isEmpty():
+        if not more:
             break
         done.append(ready.withColumn("layer", F.lit(layer).cast("bigint")))
         layer += 1
@@ -72,10 +72,10 @@ def find_cycles(deps: DataFrame, max_hops: int) -> DataFrame:
     loops = [links.filter("at = to").select(F.array("at", "to").alias("cycle"))]
     paths = links.filter("at < to").select(F.col("at").alias("start"), F.col("to").alias("at"), F.array("at", "to").alias("path"))
     for hop in range(2, max_hops + 1):
-        paths = materialize(paths, "cycles")
+        paths, more = materialize_some(paths, "cycles")
         step = paths.join(links, "at")
         loops.append(step.filter("to = start").select(F.array_append("path", F.col("to")).alias("cycle")))
-        if hop == max_hops or paths.isEmpty():
+        if hop == max_hops or not more:
             break
         grown = step.filter((F.col("to") > F.col("start")) & ~F.array_contains("path", F.col("to")))
         paths = grown.select("start", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.graph.traverse import bfs_levels
-from loomline.session import materialize
+from loomline.session import materialize, materialize_some, shuffle_width
 
 
 def pagerank(nodes: DataFrame, adjacency: DataFrame, damping: float = 0.85, iterations: int = 100,
@@ -16,8 +16,9 @@ def pagerank(nodes: DataFrame, adjacency: DataFrame, damping: float = 0.85, iter
     """(id, rank). Rank of nodes without out-edges is lost; parallel edges count in
     the out-degree but pass rank once.
 
-    One join and one map-side combined sum per round. The edge table with its
-    shares is written once; lineage is cut every few rounds.
+    The edge table is cached hash-partitioned by source node, the layout in which
+    each round's sums arrive, so a round shuffles only its map-side combined sums.
+    Lineage is cut every few rounds.
     """
     nodes = materialize(nodes.select("id"), "nodes")
     n = nodes.count()
@@ -26,15 +27,16 @@ def pagerank(nodes: DataFrame, adjacency: DataFrame, damping: float = 0.85, iter
     outs = adjacency.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
     shares = adjacency.select("src", "dst").distinct().join(outs, "src").select(
         "src", "dst", (F.lit(damping) / F.col("_out")).alias("share"))
-    shares = materialize(shares, "shares")
+    shares = materialize(shares, "shares").repartition(shuffle_width(nodes.sparkSession), "src").persist()
     base = nodes.select("id", F.lit((1 - damping) / n).alias("part"))
     ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
     for turn in range(1, iterations + 1):
         passed = ranks.join(shares, ranks["id"] == shares["src"]).select(
             F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("part"))
         ranks = passed.unionByName(base).groupBy("id").agg(F.sum("part").alias("rank"))
-        if turn % write_every == 0 and turn < iterations:
+        if turn % write_every == 0 or turn == iterations:
             ranks = materialize(ranks, "ranks")
+    shares.unpersist()
     return ranks
 
 
@@ -61,8 +63,8 @@ def betweenness_centrality(nodes: DataFrame, adjacency: DataFrame, sources: Data
         seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in levels])
         step = frontier.withColumnRenamed("node", "src").join(hops, "src")
         found = step.groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        frontier = materialize(found.join(seen, ["source", "node"], "left_anti"), "sigma")
-        if frontier.isEmpty():
+        frontier, more = materialize_some(found.join(seen, ["source", "node"], "left_anti"), "sigma")
+        if not more:
             break
         levels.append(frontier)
     deeper = levels[-1].withColumn("delta", F.lit(0.0))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.session import materialize
+from loomline.session import materialize, materialize_some
 
 
 def bfs_levels(edges: DataFrame, starts: DataFrame, max_levels: int | None = None) -> DataFrame:
@@ -33,8 +33,8 @@ def bfs_levels(edges: DataFrame, starts: DataFrame, max_levels: int | None = Non
         reached = frontier.select("source", F.col("node").alias("src")).join(hops, "src")
         found = reached.groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         found = found.join(seen, ["source", "node"], "left_anti")
-        frontier = materialize(found.select("source", "node", F.lit(depth).alias("level"), "parent"), "bfs")
-        if frontier.isEmpty():
+        frontier, more = materialize_some(found.select("source", "node", F.lit(depth).alias("level"), "parent"), "bfs")
+        if not more:
             break
         levels.append(frontier)
     return reduce(DataFrame.unionByName, levels)
@@ -48,10 +48,10 @@ def walk_parents(tree: DataFrame, ends: DataFrame) -> DataFrame:
         "source", "node", F.array("node").alias("path"), F.col("parent").alias("_next"))
     done = []
     while True:
-        open_ = materialize(open_, "walk")
+        open_, more = materialize_some(open_, "walk", F.col("_next").isNotNull())
         done.append(open_.filter("_next is null").select("source", "node", "path"))
         rest = open_.filter("_next is not null")
-        if rest.isEmpty():
+        if not more:
             return reduce(DataFrame.unionByName, done)
         open_ = rest.join(keyed, (rest["source"] == keyed["source"]) & (rest["_next"] == keyed["_at"])).select(
             rest["source"], "node", F.concat(F.array("_at"), "path").alias("path"), F.col("_up").alias("_next"))
@@ -82,11 +82,11 @@ def shortest_distances(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame,
             F.min(F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("src").alias("p"))).alias("_o"))
         both = state.join(offers, ["source", "node"], "full_outer")
         better = F.col("_o").isNotNull() & (F.col("dist").isNull() | (F.col("_o.d") < F.col("dist")))
-        state = materialize(both.select(
+        state, moved_on = materialize_some(both.select(
             "source", "node", F.when(better, F.col("_o.d")).otherwise(F.col("dist")).alias("dist"),
             F.when(better, F.col("_o.p")).otherwise(F.col("parent")).alias("parent"),
-            F.when(better, F.lit(turn)).otherwise(F.col("round")).alias("round")), "sssp")
-        if state.filter(F.col("round") == turn).isEmpty():
+            F.when(better, F.lit(turn)).otherwise(F.col("round")).alias("round")), "sssp", F.col("round") == turn)
+        if not moved_on:
             return state.drop("round"), False
     return state.drop("round"), True
 
@@ -98,10 +98,10 @@ def all_simple_paths(edges: DataFrame, start, end, max_hops: int) -> DataFrame:
     done = []
     for _ in range(max_hops):
         longer = growing.join(hops, "src").filter(~F.array_contains("path", F.col("dst")))
-        longer = materialize(longer.select(F.col("dst").alias("src"), F.array_append("path", F.col("dst")).alias("path")), "paths")
+        longer, more = materialize_some(longer.select(F.col("dst").alias("src"), F.array_append("path", F.col("dst")).alias("path")), "paths")
         done.append(longer.filter(F.col("src") == F.lit(end)).select("path"))
         growing = longer.filter(F.col("src") != F.lit(end))
-        if longer.isEmpty():
+        if not more:
             break
     return reduce(DataFrame.unionByName, done)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.plans.ordered import with_position
-from loomline.session import materialize
+from loomline.session import materialize, materialize_some
 
 
 def tree_levels(links: DataFrame, root) -> DataFrame:
@@ -24,8 +24,8 @@ def tree_levels(links: DataFrame, root) -> DataFrame:
             F.col("child").alias("node"), (F.col("level") + 1).alias("level"),
             F.array_append("path", F.col("child")).alias("path"),
             F.array_append("trail", F.col("rank").cast("bigint")).alias("trail"))
-        down = materialize(down, "tree")
-        if down.isEmpty():
+        down, more = materialize_some(down, "tree")
+        if not more:
             return reduce(DataFrame.unionByName, levels)
         levels.append(down)
 

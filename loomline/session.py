@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
@@ -68,5 +69,17 @@ def materialize(df: DataFrame, label: str = "t", partition_by: str | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_some(df: DataFrame, label: str = "t", when: Column | None = None, partition_by: str | None = None
+                     ) -> tuple[DataFrame, bool]:
+    """``materialize``, and whether any row was written (for which ``when`` holds).
+
+    The test rides on the write itself, so a loop needs one job per round.
+    """
+    seen = Observation()
+    count = F.count(F.lit(1)) if when is None else F.count_if(when)
+    written = materialize(df.observe(seen, count.alias("n")), label, partition_by)
+    return written, seen.get["n"] > 0
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
