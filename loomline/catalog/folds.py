@@ -205,13 +205,15 @@ def _(spark, d):
 
 
 @query("ab_assign_variant", """
-SELECT user_id, CASE WHEN user_id % 100 < 50 THEN 'control' WHEN user_id % 100 < 80 THEN 'short' ELSE 'long' END AS variant_id, count(*) AS impressions
-FROM events GROUP BY 1, 2""")
+SELECT CASE WHEN user_id % 3 = 0 THEN 't2' ELSE 't1' END AS test_id, user_id, CASE WHEN user_id % 3 = 0 THEN CASE WHEN user_id % 4 = 0 THEN 'a' ELSE 'b' END
+ WHEN user_id % 100 < 50 THEN 'control' WHEN user_id % 100 < 80 THEN 'short' ELSE 'long' END AS variant_id, count(*) AS impressions FROM events GROUP BY 1, 2, 3""")
 def _(spark, d):
     _, variants = ab_fixture(spark, d)
-    units = load(spark, d, "events").select(F.lit("t1").alias("test_id"), "user_id")
-    picked = analytics.ab_assign_variant(units, variants, F.col("user_id"))
-    return picked.groupBy("user_id", "variant_id").agg(F.count(F.lit(1)).alias("impressions"))
+    second = spark.createDataFrame([("t2", "a", 1, True, 0), ("t2", "b", 3, True, 1)], variants.schema)
+    test = F.when(F.col("user_id") % 3 == 0, "t2").otherwise("t1")
+    units = load(spark, d, "events").select(test.alias("test_id"), "user_id")
+    picked = analytics.ab_assign_variant(units, variants.unionByName(second), F.col("user_id"))
+    return picked.groupBy("test_id", "user_id", "variant_id").agg(F.count(F.lit(1)).alias("impressions"))
 
 
 # Price in USD per million tokens by provider.

@@ -233,14 +233,14 @@ def _(spark, d):
 
 
 @query("render_templates", """
-SELECT c_custkey, 2 AS version, 'Dear ' || c_name || ', segment ' || c_mktsegment || ' from nation '
-       || CAST(c_nationkey AS VARCHAR) || '. {{unknown}}' AS rendered FROM customer""")
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END AS version, CASE WHEN c_acctbal < 0 THEN 'Owed by ' || c_name ELSE 'Dear ' || c_name || ', segment ' || c_mktsegment
+ || ' from nation ' || CAST(c_nationkey AS VARCHAR) || '. {{unknown}}' END AS rendered FROM customer""")
 def _(spark, d):
     templates = spark.createDataFrame(
         [("hello", 1, 1, "Hi {{name}}", False), ("hello", 2, 2, "Dear {{name}}, segment {{seg}} from nation {{nat}}. {{unknown}}", True),
-         ("hello", 3, 3, "Yo {{name}}", False)],
+         ("hello", 3, 3, "Yo {{name}}", False), ("dunning", 1, 1, "Owed by {{name}}", False)],
         "name string, version int, pos int, template string, is_active boolean")
-    rows = load(spark, d, "customer").withColumn("name", F.lit("hello"))
+    rows = load(spark, d, "customer").withColumn("name", F.when(F.col("c_acctbal") < 0, "dunning").otherwise("hello"))
     context = F.create_map(F.lit("name"), F.col("c_name"), F.lit("seg"), F.col("c_mktsegment"),
                            F.lit("nat"), F.col("c_nationkey").cast("string"))
     return reshape.render_templates(rows, templates, context).select("c_custkey", "version", "rendered")

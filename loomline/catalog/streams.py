@@ -197,7 +197,7 @@ _ENTRIES = """WITH e AS (SELECT 'doc/' || doc_id AS key, n_chars % 100 AS hit_co
 @query("expiring_entries", _ENTRIES + """,
 i AS (SELECT key, hit_count, created_at FROM e WHERE NOT regexp_matches(key, '^doc/1') AND lang <> 'fr' AND created_at >= TIMESTAMP '2024-01-01 01:00:00')
 SELECT 'live' AS kind, key FROM e WHERE ttl IS NULL OR created_at + to_seconds(ttl) >= TIMESTAMP '2024-01-01 06:00:00'
-UNION ALL SELECT 'kept', key FROM i WHERE key NOT IN (SELECT key FROM i ORDER BY hit_count, created_at, key LIMIT 50)""")
+UNION ALL SELECT 'kept', key FROM i WHERE (SELECT count(*) FROM i) <= 50 OR key NOT IN (SELECT key FROM i ORDER BY hit_count, created_at, key LIMIT 50)""")
 def _(spark, d):
     entries = cache_entries(spark, d)
     at = lambda text: F.lit(text).cast("timestamp_ntz")

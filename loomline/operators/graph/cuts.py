@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomline.operators.graph.edges import both_directions
 from loomline.operators.graph.traverse import bfs_levels, connected_components
 from loomline.plans.ordered import ordered_window, running
-from loomline.session import materialize, materialize_some
+from loomline.session import discard, materialize, materialize_some
 
 
 def _up_the_levels(tree: DataFrame, depth: int, columns: dict[str, str]) -> DataFrame:
@@ -62,9 +62,11 @@ def block_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ranked, more = materialize_some(sized.join(offsets, "node", "left").select(
         "node", F.coalesce("pre", F.lit(0)).alias("pre"), F.col("parent").alias("up")), "pre", F.col("up").isNotNull())
     while more:
+        before = ranked
         above = ranked.select(F.col("node").alias("_n"), F.col("pre").alias("_p"), F.col("up").alias("_u"))
         ranked, more = materialize_some(ranked.join(above, F.col("up") == F.col("_n"), "left").select(
             "node", (F.col("pre") + F.coalesce("_p", F.lit(0))).alias("pre"), F.col("_u").alias("up")), "pre", F.col("up").isNotNull())
+        discard(before)
     placed = materialize(sized.join(ranked.drop("up"), "node"), "placed")
 
     side = placed.select("node", "parent", "pre", "size")
@@ -136,11 +138,15 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
         while jumping:
             up = heads.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
             jumped = heads.join(up, F.col("p") == F.col("_c")).select("c", F.col("_p").alias("p"), (F.col("p") != F.col("_p")).alias("moved"))
+            before = heads
             heads, jumping = materialize_some(jumped, "heads", F.col("moved"))
+            discard(before)
         ha = heads.select(F.col("c").alias("a"), F.col("p").alias("_a"))
         hb = heads.select(F.col("c").alias("b"), F.col("p").alias("_b"))
+        before = work
         merged = work.join(ha, "a").join(hb, "b").filter("_a <> _b")
         work, more = materialize_some(merged.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e")), "mst")
+        discard(before, heads)
     if not chosen:
         return flat.limit(0)
     return reduce(DataFrame.unionByName, chosen).distinct()

@@ -24,7 +24,7 @@ def topological_layers(items: DataFrame, deps: DataFrame) -> DataFrame:
     state = known.join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need"))
     done, layer = [], 0
     while True:
-        state, more = materialize_some(state.withColumn("ready", F.col("need") <= 0), "layers", F.col("ready"), "ready")
+        state, more = materialize_some(state.withColumn("ready", F.col("need") <= 0), "layers", F.col("ready"))
         ready, rest = state.filter("ready").select("id"), state.filter("not ready")
         if not more:
             break

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.graph.traverse import bfs_levels
-from loomline.session import materialize, materialize_some, shuffle_width
+from loomline.session import discard, materialize, materialize_some, shuffle_width
 
 
 def pagerank(nodes: DataFrame, adjacency: DataFrame, damping: float = 0.85, iterations: int = 100,
@@ -22,21 +22,26 @@ def pagerank(nodes: DataFrame, adjacency: DataFrame, damping: float = 0.85, iter
     """
     nodes = materialize(nodes.select("id"), "nodes")
     n = nodes.count()
-    if n == 0:
-        return nodes.withColumn("rank", F.lit(0.0))
+    if n == 0 or iterations < 1:
+        return nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     outs = adjacency.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
     shares = adjacency.select("src", "dst").distinct().join(outs, "src").select(
         "src", "dst", (F.lit(damping) / F.col("_out")).alias("share"))
-    shares = materialize(shares, "shares").repartition(shuffle_width(nodes.sparkSession), "src").persist()
+    stored = materialize(shares, "shares")
+    shares = stored.repartition(shuffle_width(nodes.sparkSession), "src").persist()
     base = nodes.select("id", F.lit((1 - damping) / n).alias("part"))
-    ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
+    ranks, written = nodes.select("id", F.lit(1.0 / n).alias("rank")), None
     for turn in range(1, iterations + 1):
         passed = ranks.join(shares, ranks["id"] == shares["src"]).select(
             F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("part"))
         ranks = passed.unionByName(base).groupBy("id").agg(F.sum("part").alias("rank"))
         if turn % write_every == 0 or turn == iterations:
-            ranks = materialize(ranks, "ranks")
+            last, ranks = written, materialize(ranks, "ranks")
+            written = ranks
+            if last is not None:
+                discard(last)
     shares.unpersist()
+    discard(stored, nodes)
     return ranks
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.session import materialize, materialize_some
+from loomline.session import discard, materialize, materialize_some
 
 
 def bfs_levels(edges: DataFrame, starts: DataFrame, max_levels: int | None = None) -> DataFrame:
@@ -80,12 +80,14 @@ def shortest_distances(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame,
         moved = state.filter(F.col("round") == turn - 1).select("source", F.col("node").alias("src"), "dist")
         offers = moved.join(hops, "src").groupBy("source", F.col("dst").alias("node")).agg(
             F.min(F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("src").alias("p"))).alias("_o"))
+        before = state
         both = state.join(offers, ["source", "node"], "full_outer")
         better = F.col("_o").isNotNull() & (F.col("dist").isNull() | (F.col("_o.d") < F.col("dist")))
         state, moved_on = materialize_some(both.select(
             "source", "node", F.when(better, F.col("_o.d")).otherwise(F.col("dist")).alias("dist"),
             F.when(better, F.col("_o.p")).otherwise(F.col("parent")).alias("parent"),
             F.when(better, F.lit(turn)).otherwise(F.col("round")).alias("round")), "sssp", F.col("round") == turn)
+        discard(before)
         if not moved_on:
             return state.drop("round"), False
     return state.drop("round"), True
@@ -119,10 +121,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = sym.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.filter("u <> v").distinct(), "links")
+        discard(links)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
         links = materialize(small, "links")
+        discard(large)
         # a star forest: one parent per node, and no parent has a parent
         several = links.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("u")
         chained = links.select(F.col("v").alias("u")).join(links.select("u"), "u", "left_semi")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.plans.ordered import ordered_window, row_number
-from loomline.session import materialize, shuffle_width
+from loomline.session import discard, materialize, shuffle_width
 
 CHUNK_ROWS = 200_000
 # step(state, row) -> (new state, output values); state is JSON-serialisable.
@@ -112,7 +112,8 @@ def sequential_scan(
         redo = stale.select(*keys, "_chunk", F.col("_wanted").alias("_entry"))
         again = arranged(split.join(redo, [*keys, "_chunk"])).mapInPandas(exits_of, state_schema)
         keep = wanted.filter(F.col("_wanted").eqNullSafe(F.col("_entry"))).drop("_wanted")
-        states = materialize(keep.unionByName(again), "states")
+        before, states = states, materialize(keep.unionByName(again), "states")
+        discard(before)
     entries = states.select(*keys, "_chunk", "_entry")
     ready = numbered.join(entries, [*keys, "_chunk"], "left")
     return arranged(ready).mapInPandas(emit, schema_out)

@@ -66,7 +66,28 @@ def materialize(df: DataFrame, label: str = "t", partition_by: str | None = None
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def _filesystem(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path, files = _filesystem(spark, path)
+    return files.exists(hadoop_path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path is not None:
+            hadoop_path, files = _filesystem(table.sparkSession, path)
+            files.delete(hadoop_path, True)
 
 
 def materialize_some(df: DataFrame, label: str = "t", when: Column | None = None, partition_by: str | None = None

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import scratch_path
+from loomline.session import discard, materialize, path_exists, scratch_path
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -172,16 +172,12 @@ def resume_run(items: DataFrame, operation: str, ledger_path: str, output_path:
     Returns the number of items processed.
     """
     from loomline.operators.joins import unprocessed_anti_join
-    from loomline.session import materialize
     spark = items.sparkSession
-    ledger_schema = "path string, operation string, source_hash string, run int"
-    try:
-        ledger = spark.read.schema(ledger_schema).parquet(f"{ledger_path}/*")
+    if path_exists(spark, ledger_path):
+        ledger = spark.read.schema("path string, operation string, source_hash string, run int").parquet(f"{ledger_path}/*")
         run = (ledger.agg(F.max("run")).first()[0] or 0) + 1
         todo = unprocessed_anti_join(items, ledger, operation)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    else:
         run, todo = 1, items.withColumn("source_hash", F.md5("content"))
     todo = materialize(todo, "todo")
     n = todo.count()
@@ -189,6 +185,7 @@ def resume_run(items: DataFrame, operation: str, ledger_path: str, output_path:
         process(todo).write.mode("overwrite").parquet(f"{output_path}/run={run}")
         todo.select("path", F.lit(operation).alias("operation"), "source_hash", F.lit(run).alias("run")).write.mode(
             "overwrite").parquet(f"{ledger_path}/{run}")
+    discard(todo)
     return n
 
 
