@@ -34,9 +34,9 @@ def topological_layers(items: DataFrame, deps: DataFrame) -> DataFrame:
             links = materialize(links.join(rest.select(F.col("id").alias("item")), "item", "left_semi").join(
                 ready.select(F.col("id").alias("depends_on")).unionByName(rest.select(F.col("id").alias("depends_on"))),
                 "depends_on", "left_semi"), "deps")
-        freed = links.join(ready.withColumnRenamed("id", "depends_on"), "depends_on").groupBy(
-            F.col("item").alias("id")).agg(F.count(F.lit(1)).alias("_freed"))
-        state = rest.join(freed, "id", "left").select("id", (F.col("need") - F.coalesce("_freed", F.lit(0))).alias("need"))
+        freed = links.join(ready.withColumnRenamed("id", "depends_on"), "depends_on").select(
+            F.col("item").alias("id"), F.lit(-1).cast("bigint").alias("need"))
+        state = rest.select("id", "need").unionByName(freed).groupBy("id").agg(F.sum("need").alias("need"))
     stuck = rest.select("id", F.lit(None).cast("bigint").alias("layer"))
     return reduce(DataFrame.unionByName, [*done, stuck])
 
