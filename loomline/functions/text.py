@@ -179,12 +179,17 @@ def domain(c: Column) -> Column:
     return F.when(value != "", value)
 
 
+def percent_decode(c: Column) -> Column:
+    """Percent-decoding with ``+`` as a blank; stray percent signs stay as they are."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def decode_params(query: Column) -> Column:
     """Map of ``k=v`` pairs, percent-decoded; blank values are dropped, a repeated key takes the last."""
     pairs = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=."))
     return let(pairs, lambda ps: last_wins_map(
-        F.transform(ps, lambda p: F.try_url_decode(F.regexp_extract(p, "^([^=]*)=", 1))),
-        F.transform(ps, lambda p: F.try_url_decode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))))
+        F.transform(ps, lambda p: percent_decode(F.regexp_extract(p, "^([^=]*)=", 1))),
+        F.transform(ps, lambda p: percent_decode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))))
 
 
 def encode_params(params: Column) -> Column:
@@ -202,7 +207,7 @@ def url_quote(c: Column) -> Column:
 
 
 def url_unquote(c: Column) -> Column:
-    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return percent_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def build_url(scheme: Column, host: Column, path: Column, params: Column | None = None) -> Column:
@@ -291,7 +296,7 @@ def random_id(length: int | None = None) -> Column:
 
 def parse_version(c: Column) -> Column:
     """All digit groups as an array of numbers; arrays compare as versions do."""
-    return F.transform(find_all(c, r"\d+"), lambda x: x.cast("bigint"))
+    return F.transform(find_all(c, r"\d+"), lambda x: x.try_cast("bigint"))
 
 
 def compare_versions(a: Column, b: Column) -> Column:

@@ -17,8 +17,15 @@ def sort_rows(df: DataFrame, key: str, tiebreak: Sequence[str], reverse: bool =
     return df.orderBy(first, *tiebreak)
 
 
+FEW_ROWS = 100_000
+
+
 def limit_offset(df: DataFrame, order: Sequence[str | Column], limit: int, offset: int = 0) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit)
+    """Slice of the ordered rows. A far or long slice is cut by position, not held by one task."""
+    if offset + limit <= FEW_ROWS:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    placed = with_position(df, order, "_pos")
+    return placed.filter((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit)).drop("_pos")
 
 
 def paginate(df: DataFrame, order: Sequence[str | Column], size: int) -> DataFrame:
@@ -43,6 +50,8 @@ def top_n(df: DataFrame, n: int, order: Sequence[Column | str], keys: Sequence[s
 
     Per key the ``row_number() <= n`` filter is trimmed before the shuffle.
     """
+    if not keys and n > FEW_ROWS:
+        return with_position(df, order, rank, start=1).filter(F.col(rank) <= n)
     if not keys:
         few = df.orderBy(*order).limit(n)
         return few.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
@@ -116,6 +125,8 @@ def assign_batches(df: DataFrame, order: Sequence[str | Column], size: int | Non
 
 def sample_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows without replacement, repeatable for a seed; ``draw`` is the draw number."""
+    if k > FEW_ROWS:
+        return shuffle_rows(df, key, seed).filter(F.col("draw") <= k)
     mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     few = df.withColumn("_mix", mixed).orderBy("_mix", key).limit(k)
     return few.withColumn("draw", F.row_number().over(Window.orderBy("_mix", key)).cast("bigint")).drop("_mix")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.session import materialize, shuffle_width
+from loomline.session import materialize
 
 HOT_ROWS = 2_000_000
 
@@ -96,8 +96,9 @@ def ordered_window(
 
 
 def _segmented(df, keys, order, columns, partitions):
-    width = partitions or shuffle_width(df.sparkSession)
-    placed = df.repartitionByRange(width, *[F.col(k).asc_nulls_first() for k in keys], *order)
+    # without a number AQE may merge neighbouring ranges of small data; they stay in order
+    width = [partitions] if partitions else []
+    placed = df.repartitionByRange(*width, *[F.col(k).asc_nulls_first() for k in keys], *order)
     placed = placed.withColumn("_ow_pid", F.spark_partition_id())
     local_keys = ["_ow_pid", *keys]
     needed = {"_ow_rn": row_number(), "_ow_n": group_rows()}

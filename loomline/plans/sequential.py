@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.plans.ordered import ordered_window, row_number
-from loomline.session import discard, materialize, shuffle_width
+from loomline.session import discard, materialize
 
 CHUNK_ROWS = 200_000
 # step(state, row) -> (new state, output values); state is JSON-serialisable.
@@ -27,8 +27,6 @@ Step = Callable[[object, tuple], tuple[object, tuple]]
 
 
 def _runner(step: Step, init, keys, inputs, passed, out_names, emit):
-    width = len(keys)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, entered = None, None, None
         for pdf in batches:
@@ -56,7 +54,6 @@ def _runner(step: Step, init, keys, inputs, passed, out_names, emit):
         if current is not None and not emit:
             yield pd.DataFrame([(*current, entered, json.dumps(state))], columns=[*keys, "_chunk", "_entry", "_exit"])
 
-    assert width > 0
     return run
 
 
@@ -77,13 +74,14 @@ def sequential_scan(
     of rounds is how long a wrong entry state takes to be forgotten.
     """
     keys = list(keys)
+    if not keys:
+        raise ValueError("give at least one key column")
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     numbered = ordered_window(df, order, {"_rn": row_number()}, keys=keys, **extra)
     numbered = numbered.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows).cast("bigint"))
-    width = shuffle_width(df.sparkSession)
 
     def arranged(rows: DataFrame) -> DataFrame:
-        return rows.repartition(width, *keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "_rn")
+        return rows.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "_rn")
 
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     schema_out = T.StructType([*df.schema.fields, *outputs.fields])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
+_given_paths: list[str] = []
 
 
 def build_session(app_name: str = "loomline", master: str | None = None, **conf) -> SparkSession:
@@ -51,7 +52,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str = "t") -> str:
     """A fresh path below the scratch root."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _given_paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "t", partition_by: str | None = None) -> DataFrame:
@@ -90,6 +93,13 @@ def discard(*tables: DataFrame) -> None:
             files.delete(hadoop_path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch path handed out so far; results that read them are gone then."""
+    while _given_paths:
+        hadoop_path, files = _filesystem(spark, _given_paths.pop())
+        files.delete(hadoop_path, True)
+
+
 def materialize_some(df: DataFrame, label: str = "t", when: Column | None = None, partition_by: str | None = None
                      ) -> tuple[DataFrame, bool]:
     """``materialize``, and whether any row was written (for which ``when`` holds).

@@ -9,7 +9,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
-from loomline.session import build_session  # noqa: E402
+from loomline.session import build_session, clear_scratch  # noqa: E402
 from tests.oracle import connect, difference, spark_rows, sql_rows  # noqa: E402
 
 
@@ -34,6 +34,7 @@ def main() -> int:
         except Exception as error:  # noqa: BLE001
             spent = time.time() - started
             problem = "raised " + "".join(traceback.format_exception_only(error))[:600]
+        clear_scratch(spark)
         if problem:
             bad += 1
             print(f"FAIL  {name}: {problem[:900]}", flush=True)

@@ -103,6 +103,16 @@ def test_pages_and_samples(spark):
     assert values(drawn, "id", "draw") == values(sorting.sample_rows(spark.range(100).orderBy(F.desc("id")), "id", 7, 3), "id", "draw")
 
 
+def test_far_slices_are_cut_by_position(spark, monkeypatch):
+    df = spark.range(500).select(((F.col("id") * 7) % 500).alias("x"))
+    near = [values(sorting.limit_offset(df, ["x"], 20, 100), "x"), values(sorting.top_n(df, 30, ["x"]), "x", "rank"),
+            values(sorting.sample_rows(df, "x", 40, 1), "x", "draw")]
+    monkeypatch.setattr(sorting, "FEW_ROWS", 10)
+    far = [values(sorting.limit_offset(df, ["x"], 20, 100), "x"), values(sorting.top_n(df, 30, ["x"]), "x", "rank"),
+           values(sorting.sample_rows(df, "x", 40, 1), "x", "draw")]
+    assert near == far
+
+
 def test_product_equals_itertools(spark):
     a, b = spark.range(4), spark.range(3).withColumnRenamed("id", "b")
     full = joins.product_slice([(a, ["id"]), (b, ["b"])])

@@ -62,11 +62,11 @@ def test_urls(spark):
     urls = ["https://u:p@h.example.com:8080/a/b?x=1&y=a%20b&x=2&z=&w#frag", "/only/path", "HTTP://Host?q=a+b", "mailto:me@x.org", ""]
     for part in ("scheme", "netloc", "path", "query", "fragment"):
         assert column(spark, urls, lambda c: text.url_part(c, part)) == [getattr(urllib.parse.urlparse(u), part) for u in urls]
-    queries = [urllib.parse.urlparse(u).query for u in urls] + ["a=1&b=%C3%A9&a=3&c==x"]
+    queries = [urllib.parse.urlparse(u).query for u in urls] + ["a=1&b=%C3%A9&a=3&c==x", "100%=a%zz&x=%"]
     assert column(spark, queries, text.decode_params) == [dict(urllib.parse.parse_qsl(q)) for q in queries]
     raw = ["a b/c~d*é+&", "x"]
     assert column(spark, raw, text.url_quote) == [urllib.parse.quote(r) for r in raw]
-    assert column(spark, ["a%20b+c"], text.url_unquote) == [urllib.parse.unquote("a%20b+c")]
+    assert column(spark, ["a%20b+c", "5% of %41"], text.url_unquote) == [urllib.parse.unquote(x) for x in ("a%20b+c", "5% of %41")]
     built = column(spark, ["h"], lambda c: text.build_url(F.lit("https"), c, F.lit("/p"), F.create_map(F.lit("k"), F.lit("a b"))))
     assert built == ["https://h/p?k=a+b"]
 
