@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from loomline.session import discard, materialize, path_exists, scratch_path
 
+log = logging.getLogger(__name__)
+
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 1000) -> DataFrame:
     """Stream of a parquet table of a folder; the schema is declared from its footer."""
@@ -77,7 +80,7 @@ def deliver(handlers: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[
                 try:
                     handlers[row["subscriber"]](batch.filter(F.col("subscriber") == row["subscriber"]), batch_id)
                 except Exception as error:  # noqa: BLE001
-                    print(f"subscriber {row['subscriber']} failed on batch {batch_id}: {error}")
+                    log.warning("subscriber %s failed on batch %s: %s", row["subscriber"], batch_id, error)
         finally:
             batch.unpersist()
 
