@@ -225,7 +225,7 @@ UNION ALL SELECT 3, 'doc/' || doc_id, length(text) + 1 FROM documents WHERE doc_
 def _(spark, d):
     docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), "doc_id").alias("path"), F.col("text").alias("content"))
     ledger, out = scratch_path(spark, "ledger"), scratch_path(spark, "out")
-    measure = lambda df: df.select("path", F.length("content").alias("size"))
+    measure = lambda df: df.select("path", F.length("content").cast("bigint").alias("size"))
     edited = docs.withColumn("content", F.when(F.col("doc_id") % 100 == 5, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     for items in (docs.filter("doc_id % 2 = 0"), docs, docs, edited):
         flow.resume_run(items.select("path", "content"), "measure", ledger, out, measure)

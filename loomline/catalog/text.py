@@ -187,7 +187,7 @@ def _(spark, d):
     rows = load(spark, d, "part").select("p_partkey", version.alias("version"))
     rows = rows.withColumn("key", text.parse_version(F.col("version")))
     placed = with_position(rows, ["key", "p_partkey"], "pos")
-    return placed.select("p_partkey", "version", "pos", text.compare_versions(F.col("version"), F.lit("20.5.3")).cast("bigint").alias("compared"),
+    return placed.select("p_partkey", "version", "pos", text.compare_versions(F.col("version"), F.lit("20.5.3")).alias("compared"),
                          text.is_compatible(F.col("version"), F.lit("20.5.3")).alias("compatible"))
 
 

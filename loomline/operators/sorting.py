@@ -34,7 +34,7 @@ def paginate(df: DataFrame, order: Sequence[str | Column], size: int) -> DataFra
     total = placed.agg(F.ceil(F.count(F.lit(1)) / size).cast("bigint").alias("total_pages"))
     paged = placed.withColumn("page", F.floor(F.col("_pos") / size).cast("bigint") + 1).drop("_pos")
     total = total.first()["total_pages"]
-    return (paged.withColumn("total_pages", F.lit(total))
+    return (paged.withColumn("total_pages", F.lit(total).cast("bigint"))
             .withColumn("has_next", F.col("page") < total).withColumn("has_prev", F.col("page") > 1))
 
 
