@@ -1,4 +1,4 @@
-"""Name -> (Spark query, oracle SQL) registry behind ``__spark_entry__``."""
+"""Name -> (Spark query, oracle SQL) registries behind ``__spark_entry__``."""
 
 from __future__ import annotations
 
@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 
 
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        if name in QUERIES:
-            raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
+def registry() -> tuple[Queries, dict[str, str], Callable]:
+    """An empty registry: its queries, their SQL, and the decorator that fills both."""
+    queries: Queries = {}
+    oracles: dict[str, str] = {}
 
-    return register
+    def query(name: str, sql: str | None = None):
+        def register(fn):
+            if name in queries:
+                raise ValueError(f"query {name!r} is registered twice")
+            queries[name] = fn
+            if sql is not None:
+                oracles[name] = sql
+            return fn
+
+        return register
+
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = registry()
