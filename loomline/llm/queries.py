@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.catalog.registry import registry
-from loomline.llm import packing, token_files
+from loomline.llm import fingerprints, licenses, packing, quality, sharding, token_files
 from loomline.session import scratch_path
 from loomline.tables import load
 
 QUERIES, ORACLES, query = registry()
 
 
+@query("op1_sharding")
+def op1_sharding(spark, sf_dir):
+    placed = sharding.shard_documents(load(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_quality_rules", quality.oracle())
+def op3_quality_rules(spark, sf_dir):
+    judged = quality.quality_rules(load(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op5_packing")
 def op5_packing(spark, sf_dir):
     pieces = packing.token_pieces(load(spark, sf_dir, "documents"))
@@ -19,6 +31,17 @@ def op5_packing(spark, sf_dir):
     return packing.pack(digests, salt=["doc_id", "start", "ids_crc32"])
 
 
+@query("op7_fingerprints")
+def op7_fingerprints(spark, sf_dir):
+    return fingerprints.digests(fingerprints.near_neighbours(load(spark, sf_dir, "documents")))
+
+
+@query("op8_license_scans")
+def op8_license_scans(spark, sf_dir):
+    scanned = licenses.license_scan(load(spark, sf_dir, "documents"))
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 @query("op10_token_files")
 def op10_token_files(spark, sf_dir):
     files = token_files.write_token_files(load(spark, sf_dir, "documents"), scratch_path(spark, "tokens"))

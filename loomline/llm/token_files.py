@@ -5,7 +5,7 @@ documents). The index has for each document its id, frame place and size, and nu
 read by one seek. The dictionary lies beside the files as ``dictionary``; a reader refuses files of another one.
 
 The dictionary is trained on at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters, those with the
-smallest hash of their id; everything else covers all rows. Documents are in ascending id order over the files.
+smallest hashes of their ids (twice as many if ids repeat); everything else covers all rows. Documents are in ascending id order over the files.
 
 Defined cases: a null text is an empty one and holds the end id alone; a null id comes first and stays null; rows of
 one id follow each other; an empty table gives no file and no rows; other columns are ignored.
@@ -36,8 +36,10 @@ BATCH_BYTES = 8 << 20
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A zstandard dictionary of serialized id arrays; empty when there are too few documents for one."""
-    some = (docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id").alias("h"))
-            .orderBy("h", "text").limit(SAMPLE_DOCS).collect())
+    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS))
+    share = SAMPLE_DOCS / max(1, short.count())
+    border = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
+    some = short.filter(F.xxhash64("doc_id") <= border).select("text").limit(2 * SAMPLE_DOCS).collect()
     encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
     samples = [encode(r.text) + end for r in some]
     try:
