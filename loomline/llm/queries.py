@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.catalog.registry import registry
-from loomline.llm import fingerprints, licenses, packing, quality, sharding, token_files
+from loomline.llm import fingerprints, licenses, ngram_join, packing, quality, sharding, token_files
 from loomline.session import scratch_path
 from loomline.tables import load
 
@@ -18,6 +18,11 @@ def op1_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op2_ngram_join")
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_jaccard_components(load(spark, sf_dir, "documents"))
+
+
 @query("op3_quality_rules", quality.oracle())
 def op3_quality_rules(spark, sf_dir):
     judged = quality.quality_rules(load(spark, sf_dir, "documents"))
