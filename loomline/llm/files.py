@@ -23,7 +23,7 @@ def written_whole(uri: str) -> Iterator:
     folder, _, name = path.rpartition("/")
     store.create_dir(folder, recursive=True)
     part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         yield out
     with contextlib.suppress(OSError, FileNotFoundError):
         if not isinstance(store, fs.LocalFileSystem):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.catalog.registry import registry
-from loomline.llm import fingerprints, licenses, ngram_join, packing, quality, sharding, token_files
+from loomline.llm import fingerprints, language, licenses, mixing, ngram_join, packing, quality, sharding, token_files, warc
 from loomline.session import scratch_path
 from loomline.tables import load
 
@@ -29,6 +29,13 @@ def op3_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op4_warc")
+def op4_warc(spark, sf_dir):
+    files = warc.write_archives(load(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    read = warc.read_archives(spark, [name for name, _ in files])
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_packing")
 def op5_packing(spark, sf_dir):
     pieces = packing.token_pieces(load(spark, sf_dir, "documents"))
@@ -36,6 +43,14 @@ def op5_packing(spark, sf_dir):
     return packing.pack(digests, salt=["doc_id", "start", "ids_crc32"])
 
 
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    model = language.learn(docs, ~language.held_out())
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_fingerprints")
 def op7_fingerprints(spark, sf_dir):
     return fingerprints.digests(fingerprints.near_neighbours(load(spark, sf_dir, "documents")))
@@ -47,6 +62,12 @@ def op8_license_scans(spark, sf_dir):
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query("op9_mixing")
+def op9_mixing(spark, sf_dir):
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op10_token_files")
 def op10_token_files(spark, sf_dir):
     files = token_files.write_token_files(load(spark, sf_dir, "documents"), scratch_path(spark, "tokens"))

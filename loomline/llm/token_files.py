@@ -97,7 +97,7 @@ class TokenFile:
 
     def __init__(self, uri: str):
         store, path = locate(uri)
-        with store.open_input_stream(path.rpartition("/")[0] + "/dictionary") as own:
+        with store.open_input_stream(path.rpartition("/")[0] + "/dictionary", compression=None) as own:
             trained = own.read()
         self.stream = store.open_input_file(path)
         head = self.stream.read_at(len(MAGIC) + 32, 0)
