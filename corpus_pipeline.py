@@ -1,3 +1,74 @@
-"""A corpus pipeline of the subpackage's operators."""
+"""A training corpus from raw documents: quality, language, near duplicates, mix, packed sequences.
 
-STAGES = []
+``STAGES`` are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomline.llm import language, mixing, ngram_join, packing, quality
+from loomline.session import materialize
+from loomline.tables import load
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_LANGUAGE_SCORE = 0.5
+ORACLE_SQL = None
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules."""
+    return quality.quality_rules(docs).filter("kept").select(*COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; a missing label is filled by the prediction."""
+    found = language.identify(docs, language.learn(docs, ~language.held_out()))
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def _node() -> Column:
+    """The id, or for rows without one a negative number from the text, so that every row is in some group."""
+    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: that with the smallest id; of rows with one id the first by text."""
+    nodes = docs.select("*", _node().alias("_node"))
+    groups = ngram_join.ngram_jaccard_components(nodes, id_col="_node")
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
+    kept = nodes.join(first, "_node", "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_node").orderBy("text", "source", "lang"))
+    return kept.withColumn("_turn", turn).filter("_turn = 1").select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, a row for each time."""
+    mixed = mixing.mixed_texts(mixing.mix(docs, keep=("text", "lang")))
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in the sequences, and digests of their token ids."""
+    pieces = packing.token_pieces(docs)
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(digests, salt=["doc_id", "start", "ids_crc32"])
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", duplicate_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    return docs

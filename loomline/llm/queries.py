@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomline.catalog.registry import registry
 from loomline.llm import fingerprints, language, licenses, mixing, ngram_join, packing, quality, sharding, token_files, warc
 from loomline.session import scratch_path
@@ -72,3 +73,6 @@ def op9_mixing(spark, sf_dir):
 def op10_token_files(spark, sf_dir):
     files = token_files.write_token_files(load(spark, sf_dir, "documents"), scratch_path(spark, "tokens"))
     return token_files.read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
