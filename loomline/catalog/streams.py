@@ -1,4 +1,4 @@
-"""Registered queries: streams, limiters, state machines, expiry, resume."""
+"""Registered queries: streams, state machines, expiry, resume."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from loomline.catalog.registry import query
 from loomline.operators import filters, reshape
-from loomline.session import scratch_path
+from loomline.session import read_written, scratch_path
 from loomline.streaming import flow, stateful
 from loomline.tables import load, micros
 
-DAY = 86_400_000_000
-
 _CALLS = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"""
 
 
@@ -46,7 +44,7 @@ def _(spark, d):
         batch.unpersist()
 
     flow.run_batches(checked, split).awaitTermination()
-    both = [spark.read.schema(checked.schema).parquet(path).select("event_id", "k", "problem") for path in (good, bad)]
+    both = [read_written(spark, path, checked.schema).select("event_id", "k", "problem") for path in (good, bad)]
     return both[0].unionByName(both[1])
 
 
@@ -68,7 +66,7 @@ def _(spark, d):
 
     handlers = {"audit": write("audit"), "sales": write("sales"), "ops": write("ops"), "broken": broken}
     flow.run_batches(routed, flow.deliver(handlers)).awaitTermination()
-    inbox = spark.read.schema(routed.schema).parquet(out)
+    inbox = read_written(spark, out, routed.schema)
     return inbox.groupBy("subscriber", "priority", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -101,41 +99,6 @@ def _(spark, d):
 # ---------------------------------------------------------------- order-dependent operators
 
 
-@query("sliding_window_limiter", _CALLS + f""",
-r(user_id, rn, event_id, adm, admitted) AS (SELECT user_id, rn, event_id, [t], true FROM e WHERE rn = 1 UNION ALL
- SELECT user_id, rn, event_id, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END, len(kept) < 2 FROM
-  (SELECT e.user_id, e.rn, e.event_id, e.t AS t, list_filter(r.adm, lambda x: e.t - x < {DAY}) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
-SELECT event_id, admitted, len(adm) AS in_window FROM r""")
-def _(spark, d):
-    labelled = stateful.sliding_window_limiter(call_log(spark, d), ["user_id"], ORDER, "t", 2, DAY)
-    return labelled.select("event_id", "admitted", "in_window")
-
-
-@query("token_bucket_limiter", _CALLS + f""",
-r(user_id, rn, event_id, tokens, last, admitted) AS (SELECT user_id, rn, event_id, 2.0::DOUBLE - 1.5 , t, true FROM e WHERE rn = 1 UNION ALL
- SELECT user_id, rn, event_id, CASE WHEN have >= 1.5 THEN have - 1.5 ELSE have END, t, have >= 1.5 FROM
-  (SELECT e.user_id, e.rn, e.event_id, e.t, least(2.0::DOUBLE, r.tokens + (e.t - r.last) * (2.0::DOUBLE / {DAY})) AS have FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
-SELECT event_id, admitted, round(tokens, 6) AS tokens_left, round(CASE WHEN tokens >= 1 THEN 0 ELSE (1 - tokens) * ({DAY} / 2.0) / 1e6 END, 3) AS wait_seconds FROM r""")
-def _(spark, d):
-    calls = call_log(spark, d).withColumn("wanted", F.lit(1.5))
-    labelled = stateful.token_bucket_limiter(calls, ["user_id"], ORDER, "t", "wanted", 2, DAY)
-    return labelled.select("event_id", "admitted", F.round("tokens_left", 6).alias("tokens_left"), F.round("wait_seconds", 3).alias("wait_seconds"))
-
-
-@query("quota_usage", _CALLS + f""",
-r(user_id, rn, event_id, used, reset_at, admitted) AS (SELECT user_id, rn, event_id, 1 + event_id % 2, t + {DAY}, true FROM e WHERE rn = 1 UNION ALL
- SELECT user_id, rn, event_id, CASE WHEN used + amount <= 3 THEN used + amount ELSE used END, reset_at, used + amount <= 3 FROM
-  (SELECT e.user_id, e.rn, e.event_id, 1 + e.event_id % 2 AS amount, CASE WHEN e.t >= r.reset_at THEN 0 ELSE r.used END AS used,
-     CASE WHEN e.t >= r.reset_at THEN e.t + {DAY} ELSE r.reset_at END AS reset_at FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
-SELECT event_id, CASE WHEN user_id % 10 = 0 THEN true ELSE admitted END AS admitted, CAST(CASE WHEN user_id % 10 = 0 THEN 0 ELSE used END AS BIGINT) AS used,
- CAST(CASE WHEN user_id % 10 <> 0 THEN 3 - used END AS BIGINT) AS remaining FROM r""")
-def _(spark, d):
-    calls = call_log(spark, d).withColumns({
-        "amount": 1 + F.col("event_id") % 2, "quota": F.when(F.col("user_id") % 10 != 0, 3)})
-    used = stateful.quota_usage(calls, ["user_id"], ORDER, "t", "amount", "quota")
-    return used.select("event_id", "admitted", "used", "remaining")
-
-
 @query("quota_by_calendar_day", """
 SELECT event_id, rn <= 2 AS admitted, greatest(2 - rn, 0) AS remaining FROM (
  SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events)""")
@@ -144,25 +107,6 @@ def _(spark, d):
     return stateful.unit_quota_by_day(calls, ["user_id"], "day", ["ts", "event_id"], 2).select("event_id", "admitted", "remaining")
 
 
-@query("outage_state_labels", _CALLS + f""",
-r(user_id, rn, event_id, s, f, su, fa, tr, label, rejected) AS (
- SELECT user_id, rn, event_id, 'closed', CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, 0, CASE WHEN event_type = 'error' THEN t ELSE 0 END, 0, 'closed', false FROM e WHERE rn = 1
- UNION ALL SELECT user_id, rn, event_id,
-  CASE WHEN rej THEN s1 WHEN ok AND s1 = 'half_open' AND su + 1 >= 2 THEN 'closed' WHEN ok THEN s1 WHEN s1 = 'half_open' OR f + 1 >= 2 THEN 'open' ELSE s1 END,
-  CASE WHEN rej THEN f WHEN ok AND s1 = 'half_open' AND su + 1 < 2 THEN f WHEN ok THEN 0 ELSE f + 1 END,
-  CASE WHEN rej THEN su WHEN ok AND s1 = 'half_open' AND su + 1 < 2 THEN su + 1 WHEN ok AND s1 = 'closed' THEN su ELSE 0 END,
-  CASE WHEN rej OR ok THEN fa ELSE t END, CASE WHEN NOT rej AND s1 = 'half_open' THEN tr1 + 1 ELSE tr1 END, s1, rej
- FROM (SELECT *, s1 = 'open' OR (s1 = 'half_open' AND tr1 >= 3) AS rej FROM (SELECT e.user_id, e.rn, e.event_id, e.t, e.event_type <> 'error' AS ok, r.f, r.su, r.fa,
-   CASE WHEN r.s = 'open' AND e.t - r.fa >= {DAY // 2} THEN 'half_open' ELSE r.s END AS s1, CASE WHEN r.s = 'open' AND e.t - r.fa >= {DAY // 2} THEN 0 ELSE r.tr END AS tr1
-   FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
-SELECT event_id, label AS state, rejected, s AS state_after FROM r""")
-def _(spark, d):
-    calls = call_log(spark, d).withColumn("ok", F.col("event_type") != "error")
-    labelled = stateful.outage_state_labels(calls, ["user_id"], ORDER, "t", "ok", failure_threshold=2, success_threshold=2,
-                                            timeout_us=DAY // 2, half_open_max_calls=3)
-    return labelled.select("event_id", "state", "rejected", "state_after")
-
-
 ALLOWED = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("purchase", "view"), ("view", "error"), ("error", "view")]
 
 
@@ -197,7 +141,7 @@ _ENTRIES = """WITH e AS (SELECT 'doc/' || doc_id AS key, n_chars % 100 AS hit_co
 @query("expiring_entries", _ENTRIES + """,
 i AS (SELECT key, hit_count, created_at FROM e WHERE NOT regexp_matches(key, '^doc/1') AND lang <> 'fr' AND created_at >= TIMESTAMP '2024-01-01 01:00:00')
 SELECT 'live' AS kind, key FROM e WHERE ttl IS NULL OR created_at + to_seconds(ttl) >= TIMESTAMP '2024-01-01 06:00:00'
-UNION ALL SELECT 'kept', key FROM i WHERE (SELECT count(*) FROM i) <= 50 OR key NOT IN (SELECT key FROM i ORDER BY hit_count, created_at, key LIMIT 50)""")
+UNION ALL SELECT 'kept', key FROM i WHERE key NOT IN (SELECT key FROM i ORDER BY hit_count, created_at, key LIMIT 50)""")
 def _(spark, d):
     entries = cache_entries(spark, d)
     at = lambda text: F.lit(text).cast("timestamp_ntz")

@@ -48,9 +48,8 @@ SELECT doc_id, len(n) AS numbers, COALESCE(CAST(list_sum(list_transform(n, lambd
  len(string_split_regex(text, '[.!?]\s')) AS sentences, md5(regexp_replace(text, '(\d)\d*', '\1#', 'g')) AS masked_md5 FROM x""")
 def _(spark, d):
     c = F.col("text")
-    total = F.aggregate(text.extract_numbers(c), F.lit(0).cast("decimal(38,0)"), lambda a, b: (a + b).cast("decimal(38,0)"))
     return load(spark, d, "documents").select(
-        "doc_id", F.size(text.find_all(c, r"\d+")).cast("bigint").alias("numbers"), total.cast("string").alias("total"),
+        "doc_id", F.size(text.find_all(c, r"\d+")).cast("bigint").alias("numbers"), text.sum_of_digits(text.extract_numbers(c)).alias("total"),
         F.size(text.find_all(c, "[aeiou]{3}")).cast("bigint").alias("vowel_runs"),
         text.matches_at_start(c, "The|Der|La").alias("starts_with_article"),
         F.size(F.split(c, r"[.!?]\s")).cast("bigint").alias("sentences"),
@@ -237,7 +236,7 @@ def _(spark, d):
 WITH RECURSIVE b(doc_id, s) AS (SELECT doc_id, regexp_replace(text, '[^()\[\]{}]', '', 'g') FROM documents UNION ALL
   SELECT doc_id, replace(replace(replace(s, '()', ''), '[]', ''), '{}', '') FROM b WHERE s <> replace(replace(replace(s, '()', ''), '[]', ''), '{}', '')),
 m AS (SELECT doc_id, min_by(s, length(s)) = '' AS balanced FROM b GROUP BY 1),
-st AS (SELECT doc_id, list_filter(list_transform(string_split(text, ';'), lambda x: trim(x, E' \n\r\t')), lambda x: x <> '')[1:5] AS st FROM documents)
+st AS (SELECT doc_id, list_filter(list_transform(string_split(text, ';'), lambda x: trim(x, E' \n\r\t')), lambda x: x <> '') AS st FROM documents)
 SELECT doc_id, length(text) >= 10 AND balanced AS code_valid, length(text) < 10 OR contains(text, 'module') OR contains(text, 'import') AS code_quiet,
  length(text) >= 10 AND length(text) - length(replace(text, '(', '')) = length(text) - length(replace(text, ')', '')) AS sql_valid,
  CASE WHEN length(text) < 10 THEN 0 ELSE CASE WHEN contains(upper(text), 'CREATE TABLE') THEN 0 ELSE 1 END + len(list_filter(st, lambda s: NOT regexp_matches(upper(s), '^(CREATE|ALTER|DROP|INSERT|UPDATE|DELETE|COMMENT|GRANT|REVOKE)'))) END AS sql_warnings,

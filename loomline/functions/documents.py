@@ -19,7 +19,7 @@ from loomline.functions.text import find_all, let, strip
 INCLUDE = r'#include\s+[<"]([^>"]+)[>"]'
 DERIVED_CLASS = r"class\s+(\w+)\s*[:{]\s*public\s+(\w+)"
 ANY_CLASS = r"class\s+(\w+)\s*[:{]"
-STRUCT = r"struct\s+(\w+)\s*\{([^}]{5,2000})\}"
+STRUCT = r"struct\s+(\w+)\s*\{([^}]*)\}"
 STRUCT_FIELD = r"(\w+(?:\*|\&)?)\s+(\w+)\s*;"
 FUNCTION = r"(?:void|int|bool|float|double|string|auto)\s+(\w+)\s*\([^)]*\)"
 METHOD = r"(virtual\s+)?(\w+(?:<[^>]+>)?)\s+(\w+)\s*\(([^)]*)\)"
@@ -123,18 +123,26 @@ STATEMENTS = ("CREATE", "ALTER", "DROP", "INSERT", "UPDATE", "DELETE", "COMMENT"
 ROOT_ELEMENTS = ("Item", "Rectangle", "Button", "Text", "Window", "ApplicationWindow")
 
 
-def brackets_balanced(c: Column) -> Column:
+_MARKS = re.compile(r"[()\[\]{}]")
+
+
+@F.pandas_udf(T.BooleanType())
+def brackets_balanced(texts: pd.Series) -> pd.Series:
     """Every closing bracket meets its own kind, and none stays open."""
-    marks = F.split(F.regexp_replace(c, r"[^()\[\]{}]+", ""), "")
-    pair = lambda x: F.translate(x, ")]}", "([{")
+    opened = {")": "(", "]": "[", "}": "{"}
 
-    def step(stack, mark):
-        closing = mark.isin(")", "]", "}")
-        fits = (F.length(stack) > 0) & (F.right(stack, F.lit(1)) == pair(mark))
-        popped = F.substring(stack, F.lit(1), F.length(stack) - 1)
-        return F.when(stack == "!", stack).when(~closing, F.concat(stack, mark)).when(fits, popped).otherwise(F.lit("!"))
+    def balanced(text):
+        if text is None:
+            return None
+        stack = []
+        for mark in _MARKS.findall(text):
+            if mark not in opened:
+                stack.append(mark)
+            elif not stack or stack.pop() != opened[mark]:
+                return False
+        return not stack
 
-    return F.aggregate(F.filter(marks, lambda m: m != ""), F.lit(""), step) == ""
+    return texts.map(balanced).astype("object")
 
 
 def _report(c: Column, short: str, errors: list[Column], warnings: list[Column]) -> Column:
@@ -166,12 +174,12 @@ def check_haskell(c: Column) -> Column:
                    [_one(~c.contains("module") & ~c.contains("import"), "No module or import declarations found")])
 
 
-def check_sql(c: Column, first: int = 5) -> Column:
-    """The first statements are looked at for their kind; the counts cover the whole text."""
+def check_sql(c: Column) -> Column:
+    """Every statement is looked at for its kind; the counts cover the whole text."""
     statements = F.filter(F.transform(F.split(c, ";"), strip), lambda s: s != "")
     known = lambda s: reduce(lambda a, b: a | b, [F.startswith(F.upper(s), F.lit(k)) for k in STATEMENTS])
-    odd = F.transform(F.filter(F.slice(statements, 1, first), lambda s: ~known(s)),
-                      lambda s: F.concat(F.lit("Unknown statement type: "), F.substring(s, 1, 30)))
+    odd = F.transform(F.filter(statements, lambda s: ~known(s)),
+                      lambda s: F.concat(F.lit("Unknown statement type: "), s))
     return _report(c, "Empty or too short SQL",
                    [_one(count_of(c, "(") != count_of(c, ")"), "Unbalanced parentheses")],
                    [_one(~F.upper(c).contains("CREATE TABLE"), "No CREATE TABLE statements found"), odd])

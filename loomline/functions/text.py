@@ -122,8 +122,31 @@ def matches_at_start(c: Column, pattern: str) -> Column:
 
 
 def extract_numbers(c: Column) -> Column:
-    """All digit runs as exact integers (NULL beyond 38 digits)."""
-    return F.transform(find_all(c, r"\d+"), lambda x: x.try_cast("decimal(38,0)"))
+    """All digit runs without leading zeros, as text, so that a run of any length stays exact."""
+    return F.transform(find_all(c, r"\d+"), without_zeros)
+
+
+def without_zeros(digits: Column) -> Column:
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
+def sum_of_digits(numbers: Column) -> Column:
+    """Exact sum of whole numbers written as text, added nine digits at a time."""
+    def added(ns):
+        limbs = F.ceil(F.coalesce(F.array_max(F.transform(ns, F.length)), F.lit(0)) / 9).cast("int")
+
+        def add(state, k):
+            part = lambda x: F.substring(F.lpad(x, 9 * limbs, "0"), (limbs - k) * 9 + 1, F.lit(9)).cast("bigint")
+            total = state["carry"] + F.aggregate(ns, F.lit(0).cast("bigint"), lambda a, x: a + part(x))
+            return F.struct(F.floor(total.cast("decimal(20,0)") / F.lit(1_000_000_000).cast("decimal(10,0)")).cast("bigint").alias("carry"),
+                            F.concat(F.lpad((total % 1_000_000_000).cast("string"), 9, "0"), state["text"]).alias("text"))
+
+        start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("text"))
+        return F.when(limbs == 0, "0").otherwise(F.aggregate(
+            F.sequence(F.lit(1), F.greatest(limbs, F.lit(1))), start, add,
+            lambda s: without_zeros(F.concat(s["carry"].cast("string"), s["text"]))))
+
+    return let(numbers, added)
 
 
 # ---------------------------------------------------------------- HTML
@@ -149,9 +172,10 @@ def html_unescape(values: pd.Series) -> pd.Series:
 def last_wins_map(keys: Column, values: Column) -> Column:
     """Map from two arrays where a repeated key takes its last value."""
     def build(s):
-        pairs = F.arrays_zip(s["k"], s["v"])
-        last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(s["k"], i + 2, F.size(s["k"])), p["k"]))
-        return F.map_from_entries(last)
+        placed = F.sort_array(F.transform(s["k"], lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        last = let(placed, lambda ps: F.filter(ps, lambda p, j: F.coalesce(F.get(ps, j + 1)["k"] != p["k"], F.lit(True))))
+        ordered = F.sort_array(F.transform(last, lambda p: F.struct(p["i"].alias("i"), p["k"].alias("k"))))
+        return F.map_from_entries(F.transform(ordered, lambda p: F.struct(p["k"], F.get(s["v"], p["i"]))))
     return let(F.struct(keys.alias("k"), values.alias("v")), build)
 
 
@@ -295,8 +319,8 @@ def random_id(length: int | None = None) -> Column:
 
 
 def parse_version(c: Column) -> Column:
-    """All digit groups as an array of numbers; arrays compare as versions do."""
-    return F.transform(find_all(c, r"\d+"), lambda x: x.try_cast("bigint"))
+    """All digit groups as (length, digits) without leading zeros; such arrays compare as versions do, at any length."""
+    return F.transform(extract_numbers(c), lambda x: F.struct(F.length(x).alias("length"), x.alias("digits")))
 
 
 def compare_versions(a: Column, b: Column) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.session import materialize
+
 
 def _ratio(top: Column, bottom: Column) -> Column:
     """Quotient that is 0 when the divisor is 0 or missing."""
@@ -136,29 +139,29 @@ def health_rollup(checks: DataFrame, service: str) -> DataFrame:
     return checks.groupBy(service).agg(overall.alias("overall"), F.count(F.lit(1)).alias("checks"))
 
 
-def batch_result_report(items: DataFrame, batch: str, ident: str, process, error_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
+def batch_result_report(items: DataFrame, batch: str, ident: str, process) -> tuple[DataFrame, DataFrame]:
     """Counts per batch, and the failing items with their messages.
 
     ``process`` is a Python function of a row dict; a row that raises fails alone.
-    Errors stay rows of their own table, so a bad batch is never one huge value.
+    The outcome is written once and read for both. Errors stay rows of their own
+    table, so a bad batch is never one huge value.
     """
     schema = T.StructType([*items.select(batch, ident).schema.fields,
                            T.StructField("ok", T.BooleanType()), T.StructField("message", T.StringType())])
 
     def attempt(batches):
-        for pdf in batches:
-            flags, messages = [], []
-            for row in pdf.to_dict("records"):
+        for rows in batches:
+            messages = []
+            for row in rows.to_pylist():
                 try:
                     process(row)
-                    flags.append(True)
                     messages.append(None)
                 except Exception as error:  # noqa: BLE001 - a failing item must not stop its batch
-                    flags.append(False)
                     messages.append(str(error))
-            yield pdf[[batch, ident]].assign(ok=flags, message=messages)
+            yield pa.record_batch([rows.column(batch), rows.column(ident), pa.array([m is None for m in messages], pa.bool_()),
+                                   pa.array(messages, pa.string())], names=schema.names)
 
-    outcome = items.mapInPandas(attempt, schema)
+    outcome = materialize(items.mapInArrow(attempt, schema), "outcome")
     report = outcome.groupBy(batch).agg(
         F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failed"))
     return report, outcome.filter(~F.col("ok")).select(batch, ident, "message")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,15 +64,15 @@ def cyclic_core(deps: DataFrame) -> DataFrame:
         core, size = trimmed, left
 
 
-def find_cycles(deps: DataFrame, max_hops: int) -> DataFrame:
-    """Every simple dependency cycle of at most ``max_hops`` edges, once, as a closed array.
+def find_cycles(deps: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Every simple dependency cycle, once, as a closed array; of at most ``max_hops`` edges if that is given.
 
     A cycle is grown from its smallest item only, which makes it unique.
     """
     links = cyclic_core(deps).select(F.col("item").alias("at"), F.col("depends_on").alias("to"))
     loops = [links.filter("at = to").select(F.array("at", "to").alias("cycle"))]
     paths = links.filter("at < to").select(F.col("at").alias("start"), F.col("to").alias("at"), F.array("at", "to").alias("path"))
-    for hop in range(2, max_hops + 1):
+    for hop in count(2) if max_hops is None else range(2, max_hops + 1):
         paths, more = materialize_some(paths, "cycles")
         step = paths.join(links, "at")
         loops.append(step.filter("to = start").select(F.array_append("path", F.col("to")).alias("cycle")))

@@ -9,6 +9,7 @@ many edges only makes the edge side skewed, which AQE splits.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,12 +94,12 @@ def shortest_distances(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame,
     return state.drop("round"), True
 
 
-def all_simple_paths(edges: DataFrame, start, end, max_hops: int) -> DataFrame:
-    """Every path (array) of at most ``max_hops`` edges without a repeated node."""
+def all_simple_paths(edges: DataFrame, start, end, max_hops: int | None = None) -> DataFrame:
+    """Every path (array) without a repeated node, of at most ``max_hops`` edges if that is given."""
     hops = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "hops")
     growing = edges.sparkSession.range(1).select(F.lit(start).alias("src"), F.array(F.lit(start)).alias("path"))
     done = []
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         longer = growing.join(hops, "src").filter(~F.array_contains("path", F.col("dst")))
         longer, more = materialize_some(longer.select(F.col("dst").alias("src"), F.array_append("path", F.col("dst")).alias("path")), "paths")
         done.append(longer.filter(F.col("src") == F.lit(end)).select("path"))

@@ -81,33 +81,39 @@ def product_slice(parts: Sequence[tuple[DataFrame, Sequence[str]]], start: int =
     stride = total
     for i, (numbered, n) in enumerate(zip(placed, sizes)):
         stride = stride // n if n else 1
-        rows = rows.withColumn(f"_i{i}", F.floor(F.col("tuple_no") / stride).cast("bigint") % max(n, 1))
+        rows = rows.withColumn(f"_i{i}", F.expr(f"tuple_no div {max(stride, 1)}") % max(n, 1))
     for i, numbered in enumerate(placed):
         rows = rows.join(numbered, f"_i{i}").drop(f"_i{i}")
     return rows
 
 
 def combination_count(n: Column, r: int, kind: str = "combinations") -> Column:
-    """How many r-tuples n items give, in closed form (nothing is emitted)."""
-    n = n.cast("double")
+    """How many r-tuples n items give, in closed form and exact decimals (nothing is emitted)."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    n = n.cast("decimal(19,0)")
     if kind == "product":
-        return F.pow(n, F.lit(r)).cast("bigint")
+        return reduce(lambda a, _: whole(a * n), range(r), whole(F.lit(1))).cast("bigint")
     if kind == "with_replacement":
         n = n + (r - 1)
-    value = F.lit(1.0)
+    value = whole(F.lit(1))
     for i in range(r):
-        value = value * F.greatest(n - i, F.lit(0.0))
+        value = whole(value * F.greatest(n - i, F.lit(0)))
         if kind != "permutations":
-            value = value / (i + 1)
-    return F.round(value).cast("bigint")
+            value = whole(value / (i + 1))
+    return value.cast("bigint")
 
 
 def pair_at(n: Column, rank: Column) -> tuple[Column, Column]:
-    """0-based positions (a, b), a < b, of pair number ``rank`` in row order."""
+    """0-based positions (a, b), a < b, of pair number ``rank`` in row order, for n up to 2^31.
+
+    The root in double precision is off by less than 64 places; which of these holds is decided in exact decimals.
+    """
+    exact = lambda c: c.cast("decimal(19,0)")
     m = 2 * n.cast("double") - 1
-    guess = F.floor((m - F.sqrt(m * m - 8 * rank)) / 2).cast("bigint")
-    before = lambda a: (a * (2 * n - a - 1) / 2).cast("bigint")
-    a = F.when(before(guess) > rank, guess - 1).when(before(guess + 1) <= rank, guess + 1).otherwise(guess)
+    guess = F.floor((m - F.sqrt(F.greatest(m * m - 8 * rank.cast("double"), F.lit(0.0)))) / 2).cast("bigint")
+    before = lambda a: (exact(a) * exact(2 * n - a - 1) / 2).cast("bigint")
+    near = F.transform(F.sequence(F.lit(-64), F.lit(64)), lambda k: guess + k)
+    a = F.array_max(F.filter(near, lambda a: (a >= 0) & (a <= n - 2) & (before(a) <= rank)))
     return a, (rank - before(a) + a + 1).cast("bigint")
 
 
@@ -132,7 +138,7 @@ def combinations_at(df: DataFrame, keys: Sequence[str], order: Sequence[str], id
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     asked = ranks.join(sizes, keys)
     a, b = pair_at(F.col("n"), F.col("rank"))
-    asked = asked.filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n") * (F.col("n") - 1) / 2))
+    asked = asked.filter((F.col("rank") >= 0) & (F.col("rank") < combination_count(F.col("n"), 2)))
     asked = asked.withColumns({"_a": a + 1, "_b": b + 1})
     item = rows.select(*keys, "_rn", F.col(ident))
     first = item.select(*keys, F.col("_rn").alias("_a"), F.col(ident).alias("first"))

@@ -193,7 +193,8 @@ def migrate_records(df: DataFrame, steps: Sequence[tuple[int, Stage, Stage]], ta
 
     ``steps`` is a list of (to_version, up, down) in ascending order; a row at
     version v passes the ups above v, or the downs above ``target``. Rows are
-    routed by their version and re-united by name.
+    routed by their version and re-united by name. A row of an unknown or no
+    version passes no step and keeps what it has.
     """
     levels = [0, *[s[0] for s in steps]]
     if target not in levels:
@@ -204,6 +205,7 @@ def migrate_records(df: DataFrame, steps: Sequence[tuple[int, Stage, Stage]], ta
         ups = [up for to, up, _ in steps if start < to <= target]
         downs = [down for to, _, down in reversed(steps) if target < to <= start]
         parts.append(chain_stages(part, ups + downs).withColumn(version, F.lit(target)))
+    parts.append(df.filter(~F.coalesce(F.col(version).isin(levels), F.lit(False))))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -216,17 +218,18 @@ def render_templates(rows: DataFrame, templates: DataFrame, context: Column, pin
     """Fill ``{{key}}`` marks from a context map.
 
     ``rows`` has ``name``; ``templates`` has (name, version, pos, template,
-    is_active). The version is ``pinned`` when given, else the active one.
+    is_active). The version is ``pinned`` when given, else the active one. A row
+    without a template stays with a NULL text; a NULL value is written ``None``.
     """
     chosen = templates
     if pinned is None:
         chosen = templates.groupBy("name").agg(
             F.max_by(F.struct("version", "template"), F.struct("is_active", "pos")).alias("_t"))
         chosen = chosen.select("name", F.col("_t.version").alias("version"), F.col("_t.template").alias("template"))
-        joined = rows.join(chosen, "name")
+        joined = rows.join(chosen, "name", "left")
     else:
-        joined = rows.withColumn("version", pinned).join(chosen, ["name", "version"])
+        joined = rows.withColumn("version", pinned).join(chosen, ["name", "version"], "left")
     filled = F.aggregate(
         F.map_entries(context), F.col("template"),
-        lambda text, e: F.replace(text, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"].cast("string")))
+        lambda text, e: F.replace(text, F.concat(F.lit("{{"), e["key"], F.lit("}}")), F.coalesce(e["value"].cast("string"), F.lit("None"))))
     return joined.withColumn("rendered", filled)

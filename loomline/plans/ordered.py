@@ -159,6 +159,18 @@ def _segmented(df, keys, order, columns, partitions):
 
 
 def with_position(df, order, name="pos", start=0, step=1, partitions=None) -> DataFrame:
-    """Consecutive global index in row order: ``start``, ``start + step``, ..."""
-    placed = ordered_window(df, order, {name: row_number()}, partitions=partitions)
-    return placed.withColumn(name, (F.col(name) - 1) * F.lit(step) + F.lit(start))
+    """Consecutive global index in row order: ``start``, ``start + step``, ...
+
+    One range exchange; a row's place in its partition comes from the scan itself,
+    and the table of rows per partition (one row each) shifts it.
+    """
+    order = _columns(order)
+    width = [partitions] if partitions else []
+    placed = df.repartitionByRange(*width, *order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn("_ow_id", F.monotonically_increasing_id()), "placed")
+    part, local = F.shiftright("_ow_id", 33), F.col("_ow_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_ow_pid")).agg(F.count(F.lit(1)).alias("_ow_n"))
+    before = Window.orderBy("_ow_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_ow_pid", F.coalesce(F.sum("_ow_n").over(before), F.lit(0)).alias("_ow_before"))
+    joined = placed.join(F.broadcast(shifts), part == F.col("_ow_pid"))
+    return joined.select(*df.columns, ((local + F.col("_ow_before")) * F.lit(step) + F.lit(start)).alias(name))

@@ -1,4 +1,4 @@
-"""Order-dependent per-key steps (limiters, breakers, state machines) in parallel.
+"""Order-dependent per-key steps (state machines and the like) in parallel.
 
 Each decision depends on the ones before it, so a key is cut into chunks of
 ``chunk_rows`` rows. All chunks start from a guess of their entry state; each
@@ -13,10 +13,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomline.plans.ordered import ordered_window, row_number
 from loomline.session import discard, materialize
@@ -26,33 +27,33 @@ CHUNK_ROWS = 200_000
 Step = Callable[[object, tuple], tuple[object, tuple]]
 
 
-def _runner(step: Step, init, keys, inputs, passed, out_names, emit):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runner(step: Step, init, keys, inputs, passed, schema: T.StructType, emit):
+    arrow = to_arrow_schema(schema)
+
+    def made(rows):
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, entered = None, None, None
-        for pdf in batches:
-            groups = list(zip(*[pdf[k] for k in [*keys, "_chunk"]])) if len(pdf) else []
-            rows = list(zip(*[pdf[c] for c in inputs]))
-            starts = pdf["_entry"].tolist()
+        for batch in batches:
+            values_of = lambda names: list(zip(*[batch.column(n).to_pylist() for n in names]))  # noqa: E731, B023
             outputs, exits = [], []
-            for group, row, start in zip(groups, rows, starts):
+            for group, row, start in zip(values_of([*keys, "_chunk"]), values_of(inputs), batch.column("_entry").to_pylist()):
                 if group != current:
                     if current is not None and not emit:
                         exits.append((*current, entered, json.dumps(state)))
-                    current = group
-                    entered = start if isinstance(start, str) else None
+                    current, entered = group, start
                     state = json.loads(entered) if entered is not None else json.loads(json.dumps(init))
                 state, values = step(state, row)
                 if emit:
                     outputs.append(values)
-            if emit:
-                out = pdf[passed].copy()
-                for i, name in enumerate(out_names):
-                    out[name] = [o[i] for o in outputs]
-                yield out
+            if emit and outputs:
+                added = [pa.array(c, f.type) for c, f in zip(zip(*outputs), list(arrow)[len(passed):])]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], *added], names=arrow.names)
             elif exits:
-                yield pd.DataFrame(exits, columns=[*keys, "_chunk", "_entry", "_exit"])
+                yield made(exits)
         if current is not None and not emit:
-            yield pd.DataFrame([(*current, entered, json.dumps(state))], columns=[*keys, "_chunk", "_entry", "_exit"])
+            yield made([(*current, entered, json.dumps(state))])
 
     return run
 
@@ -85,22 +86,22 @@ def sequential_scan(
 
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     schema_out = T.StructType([*df.schema.fields, *outputs.fields])
-    emit = _runner(step, init, keys, list(inputs), df.columns, outputs.names, True)
+    emit = _runner(step, init, keys, list(inputs), df.columns, schema_out, True)
     if largest <= chunk_rows:
         ready = numbered.withColumn("_entry", F.lit(None).cast("string"))
-        return arranged(ready).mapInPandas(emit, schema_out)
+        return arranged(ready).mapInArrow(emit, schema_out)
 
     numbered = materialize(numbered, "numbered")
-    exits_of = _runner(step, init, keys, list(inputs), df.columns, outputs.names, False)
     state_schema = T.StructType([
         *[f for f in df.select(*keys).schema.fields],
         T.StructField("_chunk", T.LongType()), T.StructField("_entry", T.StringType()),
         T.StructField("_exit", T.StringType())])
+    exits_of = _runner(step, init, keys, list(inputs), df.columns, state_schema, False)
     split_keys = numbered.filter("_chunk = 1").select(*keys).distinct()
     split = materialize(numbered.join(split_keys, keys, "left_semi").select(
         *keys, "_chunk", "_rn", *[c for c in inputs if c not in keys]), "split")
     states = materialize(arranged(split.withColumn("_entry", F.lit(None).cast("string")))
-                         .mapInPandas(exits_of, state_schema), "states")
+                         .mapInArrow(exits_of, state_schema), "states")
     previous = F.lag("_exit").over(Window.partitionBy(*keys).orderBy("_chunk"))
     while True:
         wanted = states.withColumn("_wanted", previous)
@@ -108,10 +109,10 @@ def sequential_scan(
         if stale.isEmpty():
             break
         redo = stale.select(*keys, "_chunk", F.col("_wanted").alias("_entry"))
-        again = arranged(split.join(redo, [*keys, "_chunk"])).mapInPandas(exits_of, state_schema)
+        again = arranged(split.join(redo, [*keys, "_chunk"])).mapInArrow(exits_of, state_schema)
         keep = wanted.filter(F.col("_wanted").eqNullSafe(F.col("_entry"))).drop("_wanted")
         before, states = states, materialize(keep.unionByName(again), "states")
         discard(before)
     entries = states.select(*keys, "_chunk", "_entry")
     ready = numbered.join(entries, [*keys, "_chunk"], "left")
-    return arranged(ready).mapInPandas(emit, schema_out)
+    return arranged(ready).mapInArrow(emit, schema_out)

@@ -84,6 +84,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(hadoop_path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop_path, files = _filesystem(spark, path)
+    return files.exists(hadoop_path) and files.getFileStatus(hadoop_path).isDirectory()
+
+
+def read_written(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A parquet folder that a stream wrote; no rows when it had nothing to write."""
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` that nothing reads any more."""
     for table in tables:

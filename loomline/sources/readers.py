@@ -29,9 +29,12 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def read_csv_records(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = ",",
-                     header: bool = True, schema: T.StructType | str | None = None) -> DataFrame:
-    """Every value is text unless a schema is given; without header and names, columns are ``_c0``..."""
-    reader = spark.read.option("sep", sep).option("header", header).option("escape", '"').option("multiLine", True)
+                     header: bool = True, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Every value is text unless a schema is given; without header and names, columns are ``_c0``...
+
+    ``multi_line`` allows line breaks inside quoted values; such a file is read by one task.
+    """
+    reader = spark.read.option("sep", sep).option("header", header).option("escape", '"').option("multiLine", multi_line)
     if schema is None and columns is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return (reader.schema(schema) if schema is not None else reader).csv(path)

@@ -7,17 +7,21 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomline.session import discard, materialize, path_exists, scratch_path
+from loomline.plans.ordered import with_position
+from loomline.session import discard, is_folder, materialize, path_exists, read_written, scratch_path
 
 log = logging.getLogger(__name__)
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Stream of a parquet table of a folder; the schema is declared from its footer."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """Stream of a parquet table of a folder, one file or a folder of part files; the schema is declared from its footer."""
+    path = f"{folder}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -32,7 +36,7 @@ def run_append(stream: DataFrame, path: str | None = None, checkpoint: str | Non
     job = stream.writeStream.format("parquet").option("path", path).option(
         "checkpointLocation", checkpoint or scratch_path(spark, "ckpt")).outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return read_written(spark, path, stream.schema)
 
 
 def run_updates(stream: DataFrame, keys: Sequence[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -44,7 +48,7 @@ def run_updates(stream: DataFrame, keys: Sequence[str], path: str | None = None,
     path = path or scratch_path(spark, "updates")
     job = run_batches(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch_id={n}"), checkpoint, "update")
     job.awaitTermination()
-    rows = spark.read.parquet(path)
+    rows = read_written(spark, path, T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())]))
     others = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_v"))
     return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others])
@@ -142,7 +146,7 @@ def live_entries(entries: DataFrame, as_of, default_ttl: float = 3600.0) -> Data
 
 
 def invalidate(entries: DataFrame, pattern: str | None = None, tag: str | None = None, older_than=None, least_used: int | None = None) -> DataFrame:
-    """Entries left after removal by key pattern (from the start), tag, age, or the n lowest hit counts."""
+    """Entries left after removal by key pattern (from the start), tag, age, or the n lowest hit counts (all entries if there are no more)."""
     if pattern is not None:
         entries = entries.filter(~F.col("key").rlike(f"^(?:{pattern})"))
     if tag is not None:
@@ -150,10 +154,8 @@ def invalidate(entries: DataFrame, pattern: str | None = None, tag: str | None =
     if older_than is not None:
         entries = entries.filter(F.col("created_at") >= older_than)
     if least_used is not None:
-        size = entries.count()
-        if least_used < size:
-            gone = entries.orderBy("hit_count", "created_at", "key").limit(least_used).select("key")
-            entries = entries.join(gone, "key", "left_anti")
+        placed = with_position(entries, ["hit_count", "created_at", "key"], "_place")
+        entries = placed.filter(F.col("_place") >= least_used).drop("_place")
     return entries
 
 

@@ -15,10 +15,6 @@ from loomline.plans.sequential import sequential_scan
 from loomline.streaming import steps
 
 OUTPUTS = {
-    "sliding_window": "admitted boolean, in_window bigint",
-    "token_bucket": "admitted boolean, tokens_left double, wait_seconds double",
-    "daily_quota": "admitted boolean, used bigint, remaining bigint",
-    "outage_breaker": "state string, rejected boolean, state_after string",
     "state_transitions": "accepted boolean, state_before string, state_after string",
 }
 
@@ -30,23 +26,6 @@ def run_steps(log: DataFrame, kind: str, keys: Sequence[str], order: Sequence[st
     return sequential_scan(log, keys, order, inputs, step, init, T.StructType.fromDDL(OUTPUTS[kind]), **kw)
 
 
-def sliding_window_limiter(log, keys, order, time, max_requests, window_us, **kw) -> DataFrame:
-    return run_steps(log, "sliding_window", keys, order, [time], steps.sliding_window(max_requests, window_us), **kw)
-
-
-def token_bucket_limiter(log, keys, order, time, tokens, rate, period_us, **kw) -> DataFrame:
-    return run_steps(log, "token_bucket", keys, order, [time, tokens], steps.token_bucket(rate, period_us), **kw)
-
-
-def quota_usage(log, keys, order, time, amount, limit, **kw) -> DataFrame:
-    return run_steps(log, "daily_quota", keys, order, [time, amount, limit], steps.daily_quota(), **kw)
-
-
-def outage_state_labels(log, keys, order, time, ok, **config) -> DataFrame:
-    scan = {k: config.pop(k) for k in ("chunk_rows", "hot_rows") if k in config}
-    return run_steps(log, "outage_breaker", keys, order, [time, ok], steps.outage_breaker(**config), **scan)
-
-
 def state_transition_audit(log, keys, order, status, allowed, initial, **kw) -> DataFrame:
     return run_steps(log, "state_transitions", keys, order, [status], steps.state_transitions(allowed, initial), **kw)
 

@@ -2,7 +2,6 @@
 
 A step takes (state, row values) and returns (new state, output values). States
 are JSON-serialisable, so they can be handed between chunks and micro-batches.
-Times are epoch microseconds.
 """
 
 from __future__ import annotations
@@ -10,96 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 
-def sliding_window(max_requests: int, window_us: int):
-    """Admit when fewer than ``max_requests`` admitted calls lie in the window; row: (time,)."""
-
-    def step(admitted: list, row: tuple):
-        now = row[0]
-        gone = 0
-        while gone < len(admitted) and now - admitted[gone] >= window_us:
-            gone += 1
-        admitted = admitted[gone:]
-        ok = len(admitted) < max_requests
-        if ok:
-            admitted.append(now)
-        return admitted, (ok, len(admitted))
-
-    return step, []
-
-
-def token_bucket(rate: float, period_us: int):
-    """Refill ``rate`` tokens per period up to ``rate``; row: (time, tokens wanted)."""
-
-    def step(state, row):
-        now, wanted = row
-        tokens, last = state if state is not None else (float(rate), now)
-        tokens = min(float(rate), tokens + (now - last) * (rate / period_us))
-        ok = tokens >= wanted
-        if ok:
-            tokens -= wanted
-        wait = 0.0 if tokens >= 1 else (1 - tokens) * (period_us / rate) / 1e6
-        return [tokens, now], (ok, tokens, wait)
-
-    return step, None
-
-
-DAY_US = 86_400_000_000
-
-
-def daily_quota():
-    """Admit while used + amount <= limit; the window restarts at the first use after it ended.
-
-    Row: (time, amount, limit); a missing limit (unknown or unlimited name) always passes.
-    """
-
-    def step(state, row):
-        now, amount, limit = row
-        if limit is None or limit != limit:
-            return state, (True, 0, None)
-        used, reset_at = state if state is not None else (0, now + DAY_US)
-        if now >= reset_at:
-            used, reset_at = 0, now + DAY_US
-        ok = used + amount <= limit
-        if ok:
-            used += amount
-        return [used, reset_at], (ok, int(used), int(max(0, limit - used)))
-
-    return step, None
-
-
-def outage_breaker(failure_threshold: int = 5, success_threshold: int = 2, timeout_us: int = 30_000_000,
-                   half_open_max_calls: int = 3):
-    """Label calls by the state of their provider; row: (time, succeeded).
-
-    State: [name, failures in a row, half-open successes, last failure, half-open calls].
-    """
-
-    def step(state, row):
-        now, ok = row
-        name, failures, successes, failed_at, trials = state
-        if name == "open" and now - failed_at >= timeout_us:
-            name, trials = "half_open", 0
-        label = name
-        if name == "open" or (name == "half_open" and trials >= half_open_max_calls):
-            return [name, failures, successes, failed_at, trials], (label, True, name)
-        if name == "half_open":
-            trials += 1
-        if ok:
-            if name == "half_open":
-                successes += 1
-                if successes >= success_threshold:
-                    name, failures, successes = "closed", 0, 0
-            else:
-                failures = 0
-        else:
-            failures, successes, failed_at = failures + 1, 0, now
-            if name == "half_open" or failures >= failure_threshold:
-                name = "open"
-        return [name, failures, successes, failed_at, trials], (label, False, name)
-
-    return step, ["closed", 0, 0, 0, 0]
-
-
 def state_transitions(allowed: Iterable[tuple[str, str]], initial: str):
     """Accept a change only when (current, new) is allowed; row: (new state,)."""
     pairs = frozenset(allowed)

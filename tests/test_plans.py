@@ -65,10 +65,6 @@ SECOND = 1_000_000
 
 
 @pytest.mark.parametrize("kind,made,make", [
-    ("sliding_window", steps.sliding_window(3, 10 * SECOND), lambda r, t: (t,)),
-    ("token_bucket", steps.token_bucket(4, 16 * SECOND), lambda r, t: (t, float(r.randint(1, 3)))),
-    ("daily_quota", steps.daily_quota(), lambda r, t: (t * 9000, r.randint(1, 3), 20)),
-    ("outage_breaker", steps.outage_breaker(2, 2, 12 * SECOND, 2), lambda r, t: (t, r.random() < 0.5)),
     ("state_transitions", steps.state_transitions([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a")], "a"), lambda r, t: (r.choice("abc"),)),
 ])
 @pytest.mark.parametrize("chunk_rows", [9, 10_000])
@@ -82,18 +78,3 @@ def test_chunked_steps_equal_one_pass(spark, kind, made, make, chunk_rows):
     df = spark.createDataFrame(rows, ["k", "i", *names])
     got = stateful.run_steps(df, kind, ["k"], ["i"], names, made, chunk_rows=chunk_rows, hot_rows=30)
     assert sorted([tuple(r) for r in got.collect()], key=repr) == replay(rows, made, len(names))
-
-
-def test_sliding_window_never_exceeds_its_limit(spark):
-    calls = spark.range(400).select((F.col("id") % 3).alias("k"), "id", (F.col("id") * 700_000).alias("t"))
-    out = stateful.sliding_window_limiter(calls, ["k"], ["id"], "t", 2, 5 * SECOND, chunk_rows=10)
-    admitted = out.filter("admitted").select("k", "t")
-    pairs = admitted.alias("a").join(admitted.alias("b"), F.expr("a.k = b.k and b.t <= a.t and a.t - b.t < 5000000"))
-    assert pairs.groupBy("a.k", "a.t").count().agg(F.max("count")).first()[0] == 2
-
-
-def test_unlimited_quota_passes(spark):
-    df = spark.createDataFrame([("u", 1, 5, None), ("u", 2, 99, None), ("v", 1, 3, 4), ("v", 2, 3, 4)],
-                               "k string, t bigint, amount bigint, quota bigint")
-    got = stateful.quota_usage(df, ["k"], ["t"], "t", "amount", "quota").orderBy("k", "t").collect()
-    assert [(r.admitted, r.used, r.remaining) for r in got] == [(True, 0, None), (True, 0, None), (True, 3, 1), (False, 3, 1)]

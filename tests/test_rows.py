@@ -77,6 +77,37 @@ def test_templates(spark):
     assert reshape.render_templates(rows, templates, context, F.lit(2)).first().rendered == "x?"
 
 
+def test_rows_without_template_or_value_stay(spark):
+    templates = spark.createDataFrame([("t", 1, 1, "{{a}}!", True)], "name string, version int, pos int, template string, is_active boolean")
+    rows = spark.createDataFrame([("t", None), ("gone", "x"), ("t", "y")], "name string, a string")
+    context = F.create_map(F.lit("a"), F.col("a"))
+    got = sorted(reshape.render_templates(rows, templates, context).select("name", "rendered").collect(), key=str)
+    assert [tuple(r) for r in got] == [("gone", None), ("t", "None!"), ("t", "y!")]
+    assert reshape.render_templates(rows, templates, context, F.lit(9)).count() == 3
+
+
+def test_migration_keeps_unknown_versions(spark):
+    steps = [(1, reshape.add_if_absent("x", 1), lambda d: d.drop("x"))]
+    old = spark.createDataFrame([(5, 0), (6, 7), (7, None)], "id int, version int")
+    assert sorted(values(reshape.migrate_records(old, steps, 1), "id", "version", "x")) == [(5, 1, 1), (6, 7, None), (7, None, None)]
+
+
+def test_pairs_of_large_groups_are_exact(spark):
+    from math import comb
+    asked = []
+    for n in (2, 3, 1000, 200_000_000, 2**31):
+        total = comb(n, 2)
+        asked += [(n, 0, 0, 1), (n, total - 1, n - 2, n - 1)]
+        a = n // 3
+        for b in {a + 1, n - 1} if a + 1 < n else ():
+            asked.append((n, a * (2 * n - a - 1) // 2 + b - a - 1, a, b))
+    df = spark.createDataFrame(asked, "n long, rank long, a long, b long")
+    a, b = joins.pair_at(F.col("n"), F.col("rank"))
+    assert all((r.x, r.y) == (r.a, r.b) for r in df.select("*", a.alias("x"), b.alias("y")).collect())
+    counts = df.select("n", joins.combination_count(F.col("n"), 2).alias("c")).distinct().collect()
+    assert all(r.c == comb(r.n, 2) for r in counts)
+
+
 def test_batches_follow_the_recursive_halving(spark):
     def halve(items, most):
         if len(items) <= most:

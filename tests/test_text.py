@@ -141,6 +141,45 @@ def test_commit_lines_and_answers(spark):
     assert column(spark, ["```sql\nSELECT 1;\n```"], lambda c: doc.strip_fences(c, "sql")) == ["SELECT 1;\n"]
 
 
+def test_long_bodies_statements_and_numbers(spark):
+    code = "struct Big { " + " ".join(f"int f{i};" for i in range(400)) + " };"
+    facts = doc.source_code_facts(spark.createDataFrame([("b.h", code)], "path string, content string"))
+    assert facts.filter("kind = 'struct'").count() == 1 and facts.filter("kind = 'field'").count() == 400
+    sql = column(spark, ["CREATE TABLE a (x int);" * 5 + " EXPLAIN everything there is to know about it"], doc.check_sql)[0]
+    assert sql.warnings == ["Unknown statement type: EXPLAIN everything there is to know about it"]
+    long = "9" * 60
+    got = column(spark, [f"a {long} b 007 c 1", "none", "0 00"], lambda c: text.sum_of_digits(text.extract_numbers(c)))
+    assert got == [str(int(long) + 8), "0", "0"]
+    assert column(spark, [f"1.{long}"], lambda c: text.compare_versions(c, F.lit(f"1.{'9' * 59}"))) == [1]
+    many = " ".join(f'k{i % 40000}="{i}"' for i in range(50_000))
+    attributes = column(spark, [many], text.parse_attributes)[0]
+    assert len(attributes) == 40_000 and attributes["k1"] == "40001" and attributes["k39999"] == "39999"
+    assert column(spark, ["(" * 200_000 + ")" * 200_000], doc.brackets_balanced) == [True]
+
+
+def test_large_integers_and_nulls_pass_python_unharmed(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([("a", big), ("a", None), ("b", 3)], "k string, v long")
+    same = udf.scalar_function(lambda v: v, "bigint")
+    assert sorted(r.x or 0 for r in df.select(same("v").alias("x")).collect()) == [0, 3, big]
+    rows = udf.table_function(df, lambda r: [(r["v"],)], "w long", keep=["k", "v"]).collect()
+    assert sorted((r.v or 0, r.w or 0) for r in rows) == [(0, 0), (3, 3), (big, big)]
+    top = udf.aggregate_function(df, ["k"], lambda g: (g["v"].max(),), lambda a, b: (max(a[0] or 0, b[0] or 0),), "m bigint")
+    assert {r.k: r.m for r in top.collect()} == {"a": big, "b": 3}
+    from loomline.operators import analytics
+    from loomline.streaming import stateful, steps
+
+    def process(row):
+        if row["v"] is None or row["v"] == 2**53 + 1:
+            raise ValueError(str(row["v"]))
+
+    report, errors = analytics.batch_result_report(df, "k", "v", process)
+    assert sorted(r.message for r in errors.collect()) == ["9007199254740993", "None"]
+    log = df.withColumn("i", F.monotonically_increasing_id())
+    audited = stateful.state_transition_audit(log, ["k"], ["i"], "k", [("x", "a")], "x").collect()
+    assert sorted(r.v or 0 for r in audited) == [0, 3, big]
+
+
 def test_python_functions(spark):
     df = spark.createDataFrame([("a", 1), ("b", 0), ("a", 4)], "k string, v int")
     inverse = udf.scalar_function(lambda v: 1 / v, "double")
