@@ -11,7 +11,7 @@
 4. The candidates of a set form a prefix tree over the ordered sets. One walk carries the overlap so far down the tree, so
    common beginnings are compared once, and leaves a subtree when the rest of it can't reach the overlap needed.
 
-Equal sets are one class (documents, not classes, are listed in the result). Components come from alternating stars.
+Equal sets are one class (documents, not classes, are listed in the result). Components grow by contraction of the new links.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text of fewer than five words is
 one shingle; documents of one id are one node; a null id gets the component of its class, null if no document of
@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.graph.traverse import connected_components
+from loomline.llm.components import contracted
 from loomline.session import materialize, materialize_some, shuffle_width
 
 WORDS, PERCENT = 5, 75
@@ -308,8 +307,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         return ((100 * F.least(n, other_n) >= percent * F.greatest(n, other_n))
                 & ((100 + percent) * best >= percent * (n + other_n)))
 
-    links: list[DataFrame] = []
-    label = nodes.select("id", F.col("id").alias("component"))
+    label = materialize(nodes.select("id", F.col("id").alias("component")), "label")
     for turn in range(STAR_ROUNDS + 1):
         now = entries.join(label, F.col("doc_id") == F.col("id")).drop("id")
         rank = F.col("weight") if turn == 0 else F.xxhash64("doc_id", F.lit(turn)).cast("double")
@@ -325,12 +323,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             pairs = left.join(right, "shingle").filter("doc_id < _doc_id AND component <> _component").filter(
                 fits(F.col("n"), F.col("rest"), F.col("_n"), F.col("_rest"))).select(F.col("doc_id").alias("a"), F.col("_doc_id").alias("b"))
         pairs, any_pair = materialize_some(pairs.distinct(), "candidates")
-        if not any_pair:
-            continue
-        found, any_link = materialize_some(_verified(pairs, sets, percent), "links")
-        if any_link:
-            links.append(found)
-            label = materialize(connected_components(nodes, reduce(DataFrame.unionByName, links)), "label")
+        if any_pair:
+            found, any_link = materialize_some(_verified(pairs, sets, percent), "links")
+            if any_link:
+                label = contracted(label, found)
     joined = all_sets.select(F.col("doc_id").alias("_doc"), "n", "key").join(classes, "key", "left")
     joined = joined.join(label, F.col("rep") == F.col("id"), "left")
     return joined.select(F.col("_doc").alias("doc_id"), F.col("n").alias("n_shingles"),
