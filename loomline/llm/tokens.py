@@ -3,7 +3,8 @@
 Byte-level BPE of the kind used here first cuts a text by a pattern whose matches never run
 on from a character that is no white space into white space. So the ids of a text are the ids
 of its stretches "white space, then other characters", one after the other, and the ids of a
-stretch are those of its matches. Corpora repeat their words, so the library encodes a match
+stretch are those of its matches. Texts whose white space is single blanks and line ends, the common ones, are
+cut by plain string splitting. Corpora repeat their words, so the library encodes a match
 once per Python worker; two caches of at most ``CACHE_WORDS`` entries each do the rest (when
 they are full, further words go through the library each time). Texts for which the rule is
 not certain (a special token's own text, or characters that only Python counts as white
@@ -22,7 +23,7 @@ CACHE_WORDS = 500_000
 #: The published cutting pattern of the byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _STRETCHES = re.compile(r"\s*\S+|\s+")
-_PYTHON_ONLY_SPACE = "[\x1c-\x1f]"
+_PYTHON_ONLY_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -48,11 +49,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
         self.stretches: dict[str, bytes] = {}
+        self.blanks: dict[str, bytes] = {}  # by the characters after a blank, or by a line end and what follows
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.cut = regex.compile(PATTERN).findall
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_PYTHON_ONLY_SPACE, *map(re.escape, added)]))
+        self.whole = (*_PYTHON_ONLY_SPACE, *added)
 
     def by_library(self, text: str) -> bytes:
         import numpy as np
@@ -76,16 +78,21 @@ class WordEncoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.whole.search(text):
+        if any(mark in text for mark in self.whole):
             return self.by_library(text)
-        words, cache = _STRETCHES.findall(text), self.stretches
+        first, *words = text.replace("\n", " \n").split(" ")
+        if len(text.split()) != len(words) + 1:  # other white space, several in a row, or at an end
+            return self._looked_up(_STRETCHES.findall(text), self.stretches, self._stretch)
+        return self._stretch(first) + self._looked_up(words, self.blanks, lambda w: self._stretch(w if w[:1] == "\n" else " " + w))
+
+    def _looked_up(self, words: list[str], cache: dict[str, bytes], make) -> bytes:
         ids = list(map(cache.get, words))
-        gaps = [i for i, found in enumerate(ids) if found is None]
-        for i in gaps:
-            word = words[i]
-            ids[i] = self._stretch(word)
-            if len(cache) < self.cache_words:
-                cache[word] = ids[i]
+        if None in ids:
+            for i, found in enumerate(ids):
+                if found is None:
+                    ids[i] = made = make(words[i])
+                    if len(cache) < self.cache_words:
+                        cache[words[i]] = made
         return b"".join(ids)
 
 
