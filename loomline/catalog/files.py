@@ -112,9 +112,11 @@ def _(spark, d):
 @query("metrics_exposition", """
 WITH m AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::DOUBLE AS events, count(DISTINCT user_id)::DOUBLE AS "active-users", max(value) AS peak FROM events GROUP BY 1),
 u AS (UNPIVOT m ON events, "active-users", peak INTO NAME name VALUE value)
-SELECT day, name, value, 'pipeline_' || replace(name, '-', '_') || ' ' || CAST(value AS VARCHAR) AS line FROM u""")
+SELECT day, name, value, 'pipeline_' || replace(name, '-', '_') || ' ' || CAST(value AS VARCHAR) AS line,
+ 'daily,day=' || day || ' ' || name || '=' || CAST(value AS VARCHAR) AS influx, 'pipeline.' || name || ':' || CAST(value AS VARCHAR) || '|g' AS statsd FROM u""")
 def _(spark, d):
     daily = load(spark, d, "events").groupBy(day("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("active-users"), F.max("value").alias("peak"),
         F.max("event_type").alias("note"))
-    return writers.metric_rows(daily, ["day"]).withColumn("line", writers.exposition_line())
+    return writers.metric_rows(daily, ["day"]).withColumns({
+        "line": writers.exposition_line(), "influx": writers.line_protocol(F.lit("daily"), {"day": F.col("day")}), "statsd": writers.statsd_line()})

@@ -27,18 +27,23 @@ def bfs_levels(edges: DataFrame, starts: DataFrame, max_levels: int | None = Non
     frontier = materialize(starts.select(
         F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("level"),
         F.col("id").alias("parent")).withColumn("parent", F.when(F.lit(False), F.col("parent"))), "bfs")
-    levels, depth = [frontier], 0
+    # eight tables of equally many rounds are written as one, so a deep graph is read from few tables
+    kept, depth = [(frontier, 1)], 0
     while max_levels is None or depth < max_levels:
         depth += 1
-        seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in levels])
+        seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x, _ in kept])
         reached = frontier.select("source", F.col("node").alias("src")).join(hops, "src")
         found = reached.groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         found = found.join(seen, ["source", "node"], "left_anti")
         frontier, more = materialize_some(found.select("source", "node", F.lit(depth).alias("level"), "parent"), "bfs")
         if not more:
             break
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+        kept.append((frontier, 1))
+        while len(kept) >= 8 and len({n for _, n in kept[-8:]}) == 1:
+            parts = [x for x, _ in kept[-8:]]
+            kept[-8:] = [(materialize(reduce(DataFrame.unionByName, parts), "bfs"), 8 * kept[-1][1])]
+            discard(*[x for x in parts if x is not frontier])
+    return reduce(DataFrame.unionByName, [x for x, _ in kept])
 
 
 def walk_parents(tree: DataFrame, ends: DataFrame) -> DataFrame:

@@ -74,6 +74,24 @@ def metric_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return doubles.unpivot(keys, names, "name", "value")
 
 
+def _spelt(c: Column, chars: str) -> Column:
+    """A backslash before each of the characters that mean something to the line form."""
+    return F.regexp_replace(c, f"([{chars}])", "\\\\$1")
+
+
+def line_protocol(measurement: Column, tags: dict[str, Column], at_ns: Column | None = None) -> Column:
+    """``measurement,tag=x name=value time`` text of a metric row; NULL and empty tags are left out."""
+    marked = [F.when(value.cast("string") != "", F.concat(F.lit(f",{name}="), _spelt(value.cast("string"), ",= "))) for name, value in sorted(tags.items())]
+    head = F.concat(_spelt(measurement, ", "), *[F.coalesce(m, F.lit("")) for m in marked])
+    body = F.concat(_spelt(F.col("name"), ",= "), F.lit("="), F.col("value").cast("string"))
+    return F.concat_ws(" ", head, body, *([] if at_ns is None else [at_ns.cast("string")]))
+
+
+def statsd_line(prefix: str = "pipeline.", kind: str = "g") -> Column:
+    """``prefixname:value|kind`` text of a metric row (g: gauge, c: counter, ms: time)."""
+    return F.concat(F.lit(prefix), F.regexp_replace("name", "[:|@]", "_"), F.lit(":"), F.col("value").cast("string"), F.lit(f"|{kind}"))
+
+
 def exposition_line(prefix: str = "pipeline_") -> Column:
     """``prefixname value`` text of a metric row."""
     return F.concat(F.lit(prefix), F.replace("name", F.lit("-"), F.lit("_")), F.lit(" "), F.col("value").cast("string"))

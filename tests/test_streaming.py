@@ -109,6 +109,13 @@ def test_entries_and_changes(spark):
     assert flow.invalidate(entries, tag="x").count() == 0
 
 
+def test_metric_lines(spark):
+    rows = spark.createDataFrame([("a b", 1.5, "x,y", None), ("c", 2.0, "z", "")], "name string, value double, t string, u string")
+    lines = rows.select(writers.line_protocol(F.lit("m 1"), {"t": F.col("t"), "u": F.col("u")}, F.lit(7)).alias("i"), writers.statsd_line().alias("s")).collect()
+    assert [r.i for r in lines] == ["m\\ 1,t=x\\,y a\\ b=1.5 7", "m\\ 1,t=z c=2.0 7"]
+    assert [r.s for r in lines] == ["pipeline.a b:1.5|g", "pipeline.c:2.0|g"]
+
+
 def test_sources_round_trip(spark):
     path = scratch_path(spark, "io")
     rows = spark.createDataFrame([("1", 'a "q", b\nc'), ("2", "é")], "id string, note string")
