@@ -18,7 +18,9 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS, GRAMS = 2000, 60_000
 SWITCH_PENALTY = 12.0
-BATCH_WORDS, WORD_CACHE = 250_000, 300_000
+BATCH_WORDS, FORM_CACHE, WORD_CACHE = 250_000, 300_000, 600_000
 UNKNOWN = "und"
 #: First code points of script ranges; a range ends where the next begins.
 SCRIPT_RANGES = (
@@ -38,19 +40,24 @@ SCRIPT_RANGES = (
     (0xFB00, "latin"), (0xFB13, "other"), (0x20000, "han"), (0x32000, "other"),
 )
 _STARTS = [s for s, _ in SCRIPT_RANGES]
+_script = lru_cache(1 << 16)(lambda letter: script(letter))
 
 
 def script(letter: str) -> str:
     return SCRIPT_RANGES[bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
+def scripts_of(word: str) -> set[str]:
+    return {"latin"} if word.isascii() else {_script(c) for c in word}
+
+
 def letters(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
 
 
-def grams(word: str) -> list[str]:
+def grams(word: str, sizes: tuple[int, ...] = (2, 3)) -> list[str]:
     padded = f"^{word}$"
-    return [padded[i:i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+    return [padded[i:i + n] for n in sizes for i in range(len(padded) - n + 1)]
 
 
 @dataclass
@@ -61,41 +68,52 @@ class Model:
     floor: list[float]  # of n-grams never seen, by language
 
 
-@dataclass
 class _Scorer:
-    model: Model
-    index: dict[str, int] = field(default_factory=dict)
-    rows: list[list[float]] = field(default_factory=list)
+    """Scores of words by a model; words are looked up as they stand, then by their letters, then scored together."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.rank = {g: i for i, g in enumerate(model.scores)}
+        self.grams = np.array([*model.scores.values(), model.floor], np.float32).reshape(-1, max(1, len(model.languages)))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.spelt: dict[str, int] = {"": -1}
+        self.table = np.empty((0, self.grams.shape[1]), np.float32)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by language of the words that have letters, and which words these are."""
-        if len(self.index) > WORD_CACHE:
-            self.index, self.rows = {}, []
-        index = self.index
-        found = list(map(index.get, words))
-        for i, at in enumerate(found):
-            if at is None:
-                at = index.get(words[i])
-                if at is None:
-                    at = index[words[i]] = self._row(words[i])
-                found[i] = at
+        if len(self.spelt) > WORD_CACHE:
+            self._forget()
+        elif len(self.index) > FORM_CACHE:
+            self.index = {}
+        found = list(map(self.index.get, words))
+        new = {words[i] for i, at in enumerate(found) if at is None}
+        if new:
+            own = {w: letters(w) for w in new}
+            self._learn(sorted({x for x in own.values() if x not in self.spelt}))
+            self.index.update((w, self.spelt[x]) for w, x in own.items())
+            found = list(map(self.index.get, words))
         at = np.array(found, np.int64)
         spoken = np.flatnonzero(at >= 0)
-        used, back = np.unique(at[spoken], return_inverse=True)
-        table = np.array([self.rows[i] for i in used], np.float32).reshape(-1, len(self.model.languages))
-        return table[back], spoken
-
-    def _row(self, word: str) -> int:
-        own = letters(word)
-        if not own:
-            return -1
-        model = self.model
-        able = set().union(*(model.scripts.get(s, ()) for s in {script(c) for c in own})) or set(range(len(model.languages)))
-        parts = [model.scores.get(g, model.floor) for g in grams(own)]
-        sums = [math.fsum(p[k] for p in parts) if k in able else -1e4 for k in range(len(model.languages))]
-        top = max(sums)
-        self.rows.append([max(s - top, -1e3) for s in sums])
-        return len(self.rows) - 1
+        return self.table[at[spoken]], spoken
+
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
+        rank, unseen, model = self.rank, len(self.rank), self.model
+        parts = [[rank.get(g, unseen) for g in grams(w)] for w in words]
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        scores = np.add.reduceat(self.grams[np.fromiter(chain.from_iterable(parts), np.int64)], starts)
+        every = set(range(len(model.languages)))
+        for i, word in enumerate(words):
+            able = set().union(*(model.scripts.get(s, ()) for s in scripts_of(word))) or every
+            if len(able) < len(every):
+                scores[i, sorted(every - able)] = -1e4
+        scores = np.maximum(scores - scores.max(1, keepdims=True), -1e3)
+        self.spelt.update((w, len(self.table) + i) for i, w in enumerate(words))
+        self.table = np.concatenate([self.table, scores])
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -155,7 +173,7 @@ def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
                 for word, n in Counter(text.as_py().split()).items():
                     own = letters(word)
                     if own:
-                        for g in grams(own):
+                        for g in grams(own, (1, 2, 3)):
                             found[lang, g] += n
                 if len(found) > 400_000:
                     yield from flush()
@@ -167,8 +185,8 @@ def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     for lang in known:
         table[lang] = {r.gram: r.n for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).collect()}
     languages = sorted(lang for lang in known if table[lang])
-    every = sorted(set().union(*(table[lang] for lang in languages)))
-    totals = [sum(table[lang].values()) + 0.5 * len(every) for lang in languages]
+    every = sorted(g for g in set().union(*(table[lang] for lang in languages)) if len(g) > 1)
+    totals = [sum(n for g, n in table[lang].items() if len(g) > 1) + 0.5 * len(every) for lang in languages]
     scores = {g: [math.log((table[lang].get(g, 0) + 0.5) / t) for lang, t in zip(languages, totals)] for g in every}
     scripts: dict[str, list[int]] = {}
     for k, lang in enumerate(languages):
