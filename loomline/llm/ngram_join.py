@@ -331,3 +331,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     joined = joined.join(label, F.col("rep") == F.col("id"), "left")
     return joined.select(F.col("_doc").alias("doc_id"), F.col("n").alias("n_shingles"),
                          F.when(F.col("n") == 0, F.col("_doc")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+
+
+def oracle() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS h FROM d),
+s AS MATERIALIZED (SELECT doc_id, len(h) AS n, unnest(h) AS g FROM h),
+link AS MATERIALIZED (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2) WHERE 100 * c >= 75 * (n + m - c)),
+adj AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+r(id, node) AS (SELECT DISTINCT x, x FROM adj UNION SELECT r.id, adj.y FROM r JOIN adj ON adj.x = r.node)
+SELECT h.doc_id, len(h) AS n_shingles, coalesce(c.component, h.doc_id) AS component_id
+FROM h LEFT JOIN (SELECT id, min(node) AS component FROM r GROUP BY 1) c ON c.id = h.doc_id"""

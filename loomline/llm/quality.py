@@ -116,11 +116,11 @@ p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
 g AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM p),
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 v AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS x FROM r) GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines,
-  coalesce(v.n, 0) AS n_repeat_words, len(list_filter(w, x -> lower(x) IN ({stops}))) AS stops,
-  len(list_filter(w, x -> x = upper(x) AND x <> lower(x) AND length(x) > 1)) AS uppers
+  coalesce(v.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS stops,
+  len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1)) AS uppers
   FROM d JOIN l USING (doc_id) LEFT JOIN v USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

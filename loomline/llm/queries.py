@@ -19,7 +19,7 @@ def op1_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op2_ngram_join")
+@query("op2_ngram_join", ngram_join.oracle())
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.ngram_jaccard_components(load(spark, sf_dir, "documents"))
 
@@ -57,7 +57,7 @@ def op7_fingerprints(spark, sf_dir):
     return fingerprints.digests(fingerprints.near_neighbours(load(spark, sf_dir, "documents")))
 
 
-@query("op8_license_scans")
+@query("op8_license_scans", licenses.oracle())
 def op8_license_scans(spark, sf_dir):
     scanned = licenses.license_scan(load(spark, sf_dir, "documents"))
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
