@@ -143,7 +143,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     low = F.greatest(F.col("_block") * block, F.col("_start"))
     high = F.least((F.col("_block") + 1) * block, F.col("_start") + F.col("size"))
     pieces = pieces.select("_number", "_row", "_block", (low - F.col("_start")).alias("first"), (high - low).alias("n"))
-    slots = _slots(spark, rows, seed)
+    # written, so that Spark plans the join by the slots' true size; by the size of the small table they come from it would broadcast them
+    slots = materialize(_slots(spark, rows, seed), "slots")
     met = pieces.join(slots, ["_number", "_block"], "left").groupBy("_number", "_row", "_block", "first", "n").agg(F.collect_list("shard").alias("shards"))
     taken = met.groupBy("_number", "_row").agg(F.sum(F.col("n") * F.size("shards")).alias("taken"),
                                                F.array_sort(F.collect_list(F.struct("first", "n", "shards"))).alias("pieces"))
