@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import materialize
+
 SAMPLE_ROWS, GRAMS = 2000, 60_000
 SWITCH_PENALTY = 12.0
 BATCH_WORDS, FORM_CACHE, WORD_CACHE = 250_000, 300_000, 600_000
@@ -181,6 +183,7 @@ def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
             yield from flush()
 
     counted = some.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "grams")
     table = {}
     for lang in known:
         table[lang] = {r.gram: r.n for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).collect()}
