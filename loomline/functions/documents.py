@@ -145,6 +145,9 @@ def brackets_balanced(texts: pd.Series) -> pd.Series:
     return texts.map(balanced).astype("object")
 
 
+# The messages of the reports below, as specified.
+
+
 def _report(c: Column, short: str, errors: list[Column], warnings: list[Column]) -> Column:
     """(valid, errors, warnings); too short a text has one error only."""
     too_short = c.isNull() | (F.length(c) < MIN_LENGTH)

@@ -60,6 +60,7 @@ def camel_to_snake(c: Column) -> Column:
 
 def acronym_snake(c: Column) -> Column:
     """Snake case that keeps runs of capitals together (``HTTPServer`` -> ``http_server``)."""
+    # The two patterns, as specified.
     once = F.regexp_replace(c, "(.)([A-Z][a-z]+)", "$1_$2")
     return F.lower(F.regexp_replace(once, "([a-z0-9])([A-Z])", "$1_$2"))
 
@@ -153,6 +154,7 @@ def sum_of_digits(numbers: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
+    # Fixed value: what counts as a tag, as specified.
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
@@ -181,6 +183,7 @@ def last_wins_map(keys: Column, values: Column) -> Column:
 
 def parse_attributes(c: Column) -> Column:
     """Map of the ``name="value"`` pairs."""
+    # Fixed value: the form of an attribute, as specified.
     pattern = r'(?U)(\w+)="([^"]*)"'
     return last_wins_map(find_all(c, pattern, 1), find_all(c, pattern, 2))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomline.session import materialize
 
-# The accepted formats and boolean words.
+# The accepted formats and boolean words, and the rules' error messages below, as specified.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 URL_PATTERN = r"^https?://"
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no")
