@@ -31,6 +31,7 @@ from loomline.session import materialize
 
 SAMPLE_ROWS, GRAMS = 2000, 60_000
 SWITCH_PENALTY = 12.0
+BLOCK_WORDS = 256
 BATCH_WORDS, FORM_CACHE, WORD_CACHE = 250_000, 300_000, 600_000
 UNKNOWN = "und"
 #: First code points of script ranges; a range ends where the next begins.
@@ -118,38 +119,88 @@ class _Scorer:
         self.table = np.concatenate([self.table, scores])
 
 
-def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
-    """Best state of every word; the texts' words stand one after the other in ``scores``, all texts advance together."""
-    starts = np.cumsum(np.r_[0, lengths[:-1]])
+def _forward(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, init: np.ndarray, penalty: float, keep: bool):
+    """Best value of ending in each state for every run of words; all runs advance together, the longest first.
+
+    With ``keep`` also where a state was entered by a switch, and from which state.
+    """
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    steps = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than the step
-    switched = np.zeros(scores.shape, bool)
-    source = np.zeros(len(scores), np.int16)
-    value = np.zeros((len(lengths), scores.shape[1]), np.float32)
+    at0, sizes, value = starts[order], lengths[order], init[order].astype(np.float64)
+    steps = int(sizes[0]) if len(sizes) else 0
+    active = np.searchsorted(-sizes, -np.arange(steps), side="left")  # runs longer than the step
+    switched = np.zeros(scores.shape, bool) if keep else None
+    source = np.zeros(len(scores), np.int16) if keep else None
+    rows = np.arange(len(sizes))
     for t in range(steps):
         a = active[t]
-        at = starts[:a] + t
-        now = value[:a]
+        at, now = at0[:a] + t, value[:a]
         if t:
             best = now.argmax(1)
-            jump = now[np.arange(a), best] - penalty
-            switched[at] = now < jump[:, None]
-            source[at] = best
-            now = np.maximum(now, jump[:, None])
+            jump = (now[rows[:a], best] - penalty)[:, None]
+            if keep:
+                switched[at] = now < jump
+                source[at] = best
+            now = np.maximum(now, jump)
         value[:a] = now + scores[at]
-        if t % 4096 == 0:
-            value -= value.max(1, keepdims=True)  # keeps single precision exact enough for very long texts
-    state = np.zeros(len(scores), np.int16)
-    here = value.argmax(1).astype(np.int16)
+    out = np.empty_like(value)
+    out[order] = value
+    return out, switched, source
+
+
+def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float, block: int = BLOCK_WORDS) -> np.ndarray:
+    """Best state of every word; the texts' words stand one after the other in ``scores``.
+
+    Texts are cut into blocks that advance side by side, so a long text takes no more steps than a short one. For texts of
+    several blocks, the best value from each state before a block to each state at its end is found first; a walk
+    over the blocks then fixes the states at their borders, which makes the cut exact.
+    """
+    states = scores.shape[1]
+    cuts = np.maximum(-(-lengths // block), (lengths > 0).astype(np.int64))
+    text = np.repeat(np.arange(len(lengths)), cuts)
+    first = np.cumsum(np.r_[0, cuts[:-1]])  # of a text's blocks
+    number = np.arange(len(text)) - first[text]
+    starts = np.cumsum(np.r_[0, lengths[:-1]])[text] + number * block
+    sizes = np.minimum(lengths[text] - number * block, block)
+    stays = np.where(np.eye(states, dtype=bool), 0.0, -penalty)  # from the state before a block
+    before, last = np.full(len(text), -1), np.full(len(text), -1)
+    many = np.flatnonzero(cuts > 1)
+    if len(many):
+        cut = np.flatnonzero(cuts[text] > 1)
+        init = np.where((number[cut] > 0)[:, None, None], stays, 0.0).reshape(-1, states)
+        through, _, _ = _forward(scores, np.repeat(starts[cut], states), np.repeat(sizes[cut], states), init, penalty, False)
+        through = through.reshape(-1, states, states)
+        place = np.full(len(text), -1)
+        place[cut] = np.arange(len(cut))
+        entered = np.zeros((len(cut), states), np.int64)
+        value = through[place[first[many]], 0]
+        for j in range(1, int(cuts[many].max())):
+            on = cuts[many] > j
+            at = place[first[many[on]] + j]
+            paths = value[on][:, :, None] + through[at]
+            entered[at] = paths.argmax(1)
+            value[on] = paths.max(1)
+        state = value.argmax(1)
+        for j in range(int(cuts[many].max()) - 1, -1, -1):
+            on = cuts[many] > j
+            own = first[many[on]] + j
+            last[own] = state[on]
+            if j:
+                state[on] = entered[place[own], state[on]]
+                before[own] = state[on]
+    init = np.where((before >= 0)[:, None], stays[before], 0.0)
+    value, switched, source = _forward(scores, starts, sizes, init, penalty, True)
+    here = np.where(last >= 0, last, value.argmax(1) if len(value) else last).astype(np.int16)
+    order = np.argsort(-sizes, kind="stable")
+    here, at0, ends = here[order], starts[order], sizes[order]
+    found = np.zeros(len(scores), np.int16)
+    steps = int(ends[0]) if len(ends) else 0
+    active = np.searchsorted(-ends, -np.arange(steps), side="left")
     for t in range(steps - 1, -1, -1):
         a = active[t]
-        at = starts[:a] + t
-        state[at] = here[:a]
-        jumped = switched[at, here[:a]]
-        here[:a] = np.where(jumped, source[at], here[:a])
-    return state
+        at = at0[:a] + t
+        found[at] = here[:a]
+        here[:a] = np.where(switched[at, here[:a]], source[at], here[:a])
+    return found
 
 
 def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -213,6 +213,15 @@ def test_viterbi_equals_all_paths():
         at += n
 
 
+def test_viterbi_in_blocks_equals_one_walk():
+    rng = np.random.default_rng(1)
+    for penalty in (0.5, 4.0):
+        lengths = np.array([40, 0, 7, 1, 133, 8, 9])
+        scores = np.round(rng.normal(0, 3, (lengths.sum(), 4)), 3).astype(np.float32)
+        whole, cut = language.viterbi(scores, lengths, penalty, 1000), language.viterbi(scores, lengths, penalty, 8)
+        assert (whole == cut).all()
+
+
 def test_mixing_meets_targets(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     found = QUERIES["op9_mixing"](spark, SF_DIR).collect()
