@@ -4,7 +4,7 @@ Byte-level BPE of the kind used here first cuts a text by a pattern whose matche
 on from a character that is no white space into white space. So the ids of a text are the ids
 of its stretches "white space, then other characters", one after the other, and the ids of a
 stretch are those of its matches. Texts whose white space is single blanks and line ends, the common ones, are
-cut by plain string splitting. Corpora repeat their words, so the library encodes a match
+cut by plain string splitting; all other texts by the pattern of stretches. Corpora repeat their words, so the library encodes a match
 once per Python worker; two caches of at most ``CACHE_WORDS`` entries each do the rest (when
 they are full, further words go through the library each time). Texts for which the rule is
 not certain (a special token's own text, or characters that only Python counts as white
@@ -24,6 +24,9 @@ CACHE_WORDS = 500_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _STRETCHES = re.compile(r"\s*\S+|\s+")
 _PYTHON_ONLY_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: White space that is neither a blank nor a line end; texts that hold any are never split plainly.
+_OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_OTHER_ASCII_SPACE = "\t\x0b\x0c\r"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -81,7 +84,9 @@ class WordEncoder:
         if any(mark in text for mark in self.whole):
             return self.by_library(text)
         first, *words = text.replace("\n", " \n").split(" ")
-        if len(text.split()) != len(words) + 1:  # other white space, several in a row, or at an end
+        # without other white space the counts are equal only if no piece is empty: none in a row, none at an end
+        other = any(space in text for space in (_OTHER_ASCII_SPACE if text.isascii() else _OTHER_SPACE))
+        if other or len(text.split()) != len(words) + 1:
             return self._looked_up(_STRETCHES.findall(text), self.stretches, self._stretch)
         return self._stretch(first) + self._looked_up(words, self.blanks, lambda w: self._stretch(w if w[:1] == "\n" else " " + w))
 

@@ -43,6 +43,16 @@ def test_word_encoder_equals_library(library, rows):
             assert encode(t) == ids_of(library, t, 0)[:-1].tobytes()
 
 
+def test_texts_that_mix_white_space_equal_library(library):
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    assert set(tokens._OTHER_SPACE) == set(spaces) - {" ", "\n", *tokens._PYTHON_ONLY_SPACE}
+    rng = random.Random(3)
+    mixed = ["".join(rng.choice("ab'\n\n  é1" + rng.choice(spaces)) for _ in range(rng.randint(1, 24))) for _ in range(3000)]
+    encode = tokens.WordEncoder(tokens.default_tokenizer())
+    for t in ["a\xa0b\xa0c\n\n\nd", "x\ty\tw\n\n\nz", "x\ty\n", "\ra b ", *mixed]:
+        assert encode(t) == ids_of(library, t, 0)[:-1].tobytes(), repr(t)
+
+
 def check_packing(found, want, library):
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in found:
