@@ -65,6 +65,33 @@ def test_licenses_equal_brute_force(spark, rows, odd):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    rng = random.Random(4)
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\n// a copy of this software and associated documentation files, to deal\n// in the Software without restriction"
+    texts = ["Head.\n\n// " + mit + ".\nTail.", "Released under\nthe\nMIT License", "released\n" + "other words " * 3 + "\nunder the\nlicense", "Released under the MIT License.\nx"]
+    for _ in range(60):
+        words = " ".join(rng.sample(sorted(licenses.TEMPLATES.values()), 2)).split()
+        words = [w for w in words if rng.random() > 0.1]
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n * ", " the "]) for w in words))
+    found = by_id(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)))
+    wrapped = 0
+    for d, t in enumerate(texts):
+        lines = [brute.LICENSE_WORD.findall(brute.ascii_lower(x)) for x in t.split("\n")]
+        words, want, by_line = sum(lines, []), {}, set()
+        for label, template in licenses.TEMPLATES.items():
+            own, n = set(template.split()), len(template.split())
+            share = lambda block: len(own & set(block)) / len(own)  # noqa: E731, B023
+            best = max(map(share, [*lines, *[words[i:i + n] for i in range(len(words))]]))
+            if best >= licenses.THRESHOLD - 1e-12:
+                want[label] = best
+                by_line |= {label} if max(map(share, lines)) >= licenses.THRESHOLD - 1e-12 else set()
+        wrapped += len(set(want) - by_line)
+        base = brute.license_base(t)
+        assert set(filter(None, found[d]["labels"].split(","))) == set(want) | set(filter(None, base["base_labels"].split(","))), t
+        assert found[d]["score"] == max([1.0 if base["n_base"] else 0.0, *want.values()]), t
+    assert found[0]["labels"] == "mit-text" and found[1]["labels"] == "mit-notice" and found[2]["labels"] == "" and wrapped > 20
+
+
 def check_shards(found, want, shards):
     assert Counter((r.doc_id, r.size) for r in found) == Counter((d, len((t or "").encode()) + (1)) for d, t in want)
     slots, places = defaultdict(list), defaultdict(set)
