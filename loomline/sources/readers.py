@@ -29,10 +29,11 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def read_csv_records(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = ",",
-                     header: bool = True, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+                     header: bool = True, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """Every value is text unless a schema is given; without header and names, columns are ``_c0``...
 
-    ``multi_line`` allows line breaks inside quoted values; such a file is read by one task.
+    Quoted values can hold line breaks, so a file is read by one task. Without ``multi_line`` files split; only for
+    files known to have no line breaks in values, as others come out as damaged rows.
     """
     reader = spark.read.option("sep", sep).option("header", header).option("escape", '"').option("multiLine", multi_line)
     if schema is None and columns is not None:

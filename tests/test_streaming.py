@@ -116,6 +116,16 @@ def test_metric_lines(spark):
     assert [r.s for r in lines] == ["pipeline.a b:1.5|g", "pipeline.c:2.0|g"]
 
 
+def test_csv_values_with_line_breaks(spark):
+    path = scratch_path(spark, "io")
+    rows = spark.createDataFrame([("1", 'a "q"; b\nc'), ("2", "x\r\n\ny"), ("3", "é")], "id string, note string")
+    assert writers.write_csv_records(rows, path, sep=";")
+    assert rows_of(readers.read_csv_records(spark, path, sep=";")) == rows_of(rows)
+    plain = rows.filter("id = '3'")
+    assert writers.write_csv_records(plain, path + "/plain")
+    assert rows_of(readers.read_csv_records(spark, path + "/plain", multi_line=False)) == rows_of(plain)
+
+
 def test_sources_round_trip(spark):
     path = scratch_path(spark, "io")
     rows = spark.createDataFrame([("1", 'a "q", b\nc'), ("2", "é")], "id string, note string")
