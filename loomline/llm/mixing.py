@@ -1,13 +1,15 @@
 """Mixing sources to target weights by blocks of words.
 
-The words of a source's documents, one document after the other, form blocks of ``BLOCK`` words. A source's target is its weight's
+The words of a source's documents, one document after the other, form blocks of ``BLOCK`` words, or
+of a ``PARTS``-th of the source's words if that is less. A source's target is its weight's
 part of ``share`` times all words, at most ``most`` times its size; what a source can't take goes to the others.
 A target is met by whole passes over the source's blocks and a part of one more. Each output shard draws how many blocks
 of which source it gets, from a multinomial over what the sources still have to give, so that the totals come out
 exactly. The slots of a source are numbered over the shards; a keyed permutation (Feistel network with cycle
 walking) maps them to blocks, another one in each pass; slots and documents meet by block number.
 
-Only totals of sources and the drawn counts (sources times shards) come to the driver. Seeds are fixed, so reruns agree.
+Only totals of sources and the drawn counts (sources times shards) come to the driver. Seeds are fixed and sources are
+numbered by code point (null last), so reruns agree in whatever order the totals arrive.
 
 Defined cases: a null text has no words and is taken 0 times; a null source is a source of its own, the last; equal
 rows are taken each for itself; sources without words have target 0; an empty table gives no rows.
@@ -28,13 +30,25 @@ from loomline.llm.ranks import spread_rank
 from loomline.session import materialize, shuffle_width
 
 BLOCK, SHARDS, SEED = 128, 64, 20
+#: Blocks that a source has at least, if it has as many words.
+PARTS = 64
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 _PAIR = 1 << 17
 
 
+def source_order(sizes: dict[str | None, int]) -> list[str | None]:
+    """The sources by code point, null last."""
+    return sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+
+
+def block_width(size: int, block: int = BLOCK) -> int:
+    """Words in a block of a source of ``size`` words."""
+    return min(block, max(1, size // PARTS))
+
+
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
     """Words wanted of each source; weights repeat over the sources by code point, null last."""
-    order = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    order = source_order(sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     pool, wanted, open_ = share * sum(sizes.values()), {}, list(order)
     while open_:
@@ -54,7 +68,7 @@ def slot_counts(sizes: dict[str | None, int], wanted: dict[str | None, float], b
     """Blocks to take of each source: whole passes, and the nearest number of a pass more."""
     out = {}
     for s, size in sizes.items():
-        blocks = math.ceil(size / block)
+        blocks = math.ceil(size / block_width(size, block))
         passes, rest = divmod(wanted[s], size) if size else (0, 0)
         out[s] = min(int(passes) * blocks + (round(rest / (size / blocks)) if size else 0), int(most) * blocks)
     return out
@@ -129,19 +143,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sizes = {r.source: r.n for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     wanted = targets(sizes, weights, share, most)
     counts = slot_counts(sizes, wanted, block, most)
-    order = list(sizes)
+    order = source_order(sizes)
     drawn = shard_draws([counts[s] for s in order], shards, seed) if order else np.zeros((0, 0), np.int64)
     before = np.cumsum(drawn, axis=0) - drawn
-    rows = [(t, k, int(before[t, k]), int(drawn[t, k]), math.ceil(sizes[s] / block))
+    rows = [(t, k, int(before[t, k]), int(drawn[t, k]), math.ceil(sizes[s] / block_width(sizes[s], block)))
             for t in range(len(drawn)) for k, s in enumerate(order) if drawn[t, k]]
-    table = spark.createDataFrame([(k, s, sizes[s], float(wanted[s])) for k, s in enumerate(order)],
-                                  "_number long, _source string, source_size long, target double")
+    table = spark.createDataFrame([(k, s, sizes[s], float(wanted[s]), block_width(sizes[s], block)) for k, s in enumerate(order)],
+                                  "_number long, _source string, source_size long, target double, _width long")
     placed = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))  # a row for each source
 
-    last = F.expr(f"(_start + size - 1) div {block}")
-    pieces = placed.filter("size > 0").select("_number", "_row", "_start", "size", F.explode(F.sequence(F.expr(f"_start div {block}"), last)).alias("_block"))
-    low = F.greatest(F.col("_block") * block, F.col("_start"))
-    high = F.least((F.col("_block") + 1) * block, F.col("_start") + F.col("size"))
+    last = F.expr("(_start + size - 1) div _width")
+    pieces = placed.filter("size > 0").select("_number", "_row", "_start", "size", "_width", F.explode(F.sequence(F.expr("_start div _width"), last)).alias("_block"))
+    low = F.greatest(F.col("_block") * F.col("_width"), F.col("_start"))
+    high = F.least((F.col("_block") + 1) * F.col("_width"), F.col("_start") + F.col("size"))
     pieces = pieces.select("_number", "_row", "_block", (low - F.col("_start")).alias("first"), (high - low).alias("n"))
     # written, so that Spark plans the join by the slots' true size; by the size of the small table they come from it would broadcast them
     slots = materialize(_slots(spark, rows, seed), "slots")

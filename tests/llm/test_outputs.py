@@ -251,6 +251,29 @@ def test_mixing_meets_targets(spark):
     assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-3
 
 
+def test_mixing_does_not_depend_on_the_order_of_totals(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 7}", "w " * (300 + i)) for i in range(70)], SCHEMA.replace("text", "source") + ", text string")
+    width, runs, write = spark.conf.get("spark.sql.shuffle.partitions"), [], mixing.materialize
+    for n in ("1", "5", "13"):
+        def written(df, name, n=n):  # the totals come in another order for each number of partitions
+            out = write(df, name)
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            return out
+        monkeypatch.setattr(mixing, "materialize", written)
+        try:
+            found = mixing.mix(docs).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+        runs.append(sorted((r.doc_id, r.taken, [(p["first"], p["n"], sorted(p["shards"])) for p in r.pieces]) for r in found))
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_mixing_of_small_sources_meets_targets(spark):
+    docs = spark.createDataFrame([(1, "a", "w " * 60), (2, "b", "w " * 300), (3, "c", "w " * 5), (4, "d", "w " * 5000)], "doc_id long, source string, text string")
+    for r in mixing.mix(docs, share=1.2).collect():
+        assert abs(r.taken - r.target) <= max(1, r.source_size / 32), r
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(1, "b", "w " * 700), (1, "b", "w " * 700), (None, "b", "a b c"), (2, None, "x y z"), (3, "a", None), (4, "a", ""), (5, "é", "q " * 90)]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, source string, text string, target int")
