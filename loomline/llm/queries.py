@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomline.catalog.registry import registry
-from loomline.llm import decontamination, fingerprints, language, licenses, mixing, ngram_join, packing, quality, sharding, token_files, warc
+from loomline.llm import decontamination, fingerprints, language, lexical_search, licenses, mixing, ngram_join, packing, quality, sharding, token_files, warc
 from loomline.session import scratch_path
 from loomline.tables import load
 
@@ -75,6 +75,12 @@ def op10_token_files(spark, sf_dir):
     return token_files.read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op11_lexical_search", lexical_search.oracle())
+def op11_lexical_search(spark, sf_dir):
+    found = lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 @query("op13_decontamination", decontamination.oracle())
 def op13_decontamination(spark, sf_dir):
     return decontamination.digests(decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
