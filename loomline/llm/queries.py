@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomline.catalog.registry import registry
-from loomline.llm import decontamination, fingerprints, language, lexical_search, licenses, mixing, ngram_join, packing, quality, sharding, token_files, warc
+from loomline.llm import decontamination, fingerprints, language, lexical_search, licenses, mixing, ngram_join, packing, prefix_trie, quality, sharding, token_files, warc
 from loomline.session import scratch_path
 from loomline.tables import load
 
@@ -81,6 +81,11 @@ def op11_lexical_search(spark, sf_dir):
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+@query("op12_prefix_trie", prefix_trie.oracle())
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(load(spark, sf_dir, "conversations"))
+
+
 @query("op13_decontamination", decontamination.oracle())
 def op13_decontamination(spark, sf_dir):
     return decontamination.digests(decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
