@@ -3,9 +3,13 @@
 All measures are built-in functions, so that the whole verdict is one scan without a shuffle. A document is rejected
 when it is too short or mostly repeated (``base_failed``), or when a measure leaves its range in ``RULES``.
 
+The measures come out of a generator of one row, since Spark does not push filters below one. Otherwise a filter on
+``kept`` would be written out with all measures once for each rule that it stands for.
+
 Defined cases: a null or empty text has no words, all counts are 0 and it fails; measures of nothing are null and break
-no rule; equal rows get equal verdicts; every other column is kept, one of an output's name is replaced; an empty
-table gives no rows.
+no rule, as does the share of stop words where fewer than half of the words hold a letter from A to Z, since the
+list has only words of Latin script; very long texts are read whole; equal rows get equal verdicts; every other column is
+kept under any name, one of an output's name is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,9 +19,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.columns import SPACE, bound, words
+from loomline.llm.columns import SPACE, bound, quoted, unused_name, words
 
-#: Frequent function words of English, German, French and Spanish.
+#: Frequent function words of English, German, French and Spanish; the share is taken only of texts that are mostly Latin.
 STOP_WORDS = (
     "the of and to a in is that it for was on with as by be this are at from or an not have "
     "der die und den von zu das sich mit des auf für nicht im ist dem ein eine als auch "
@@ -63,6 +67,7 @@ def _measures(text: Column) -> Column:
             bound(lines, lambda own: F.struct(F.size(own).cast("long").alias("n"), (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("dup"))).alias("lines"),
             _repeated(found).cast("long").alias("n_repeat_words"),
             F.size(F.filter(found, lambda w: F.lower(w).isin(STOP_WORDS))).alias("stops"),
+            F.size(F.filter(found, lambda w: w.rlike("[A-Za-z]"))).alias("latin"),
             F.size(F.filter(found, lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1))).alias("uppers"),
         )
 
@@ -78,14 +83,16 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: dict[str, tupl
     """The rows with their counts, the measures of ``RULES``, ``base_failed``, ``failed_rules`` and ``kept``."""
     rules = RULES if rules is None else rules
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES, "base_failed", "failed_rules", "kept"]
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    m = F.col("_m")
-    measured = docs.select(*own, _measures(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_m"))
+    own = [F.col(quoted(c)) for c in docs.columns if c not in names]
+    held = unused_name(docs, "measures")
+    m = F.col(held)
+    measures = _measures(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")))
+    measured = docs.select(*own, F.explode(F.array(measures)).alias(held))
     counted = measured.select(
         *own, m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
         m["lines"]["dup"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
         _share(m["word_chars"], m["n_words"]).alias("mean_word_chars"), _share(m["n_symbols"], m["n_words"]).alias("symbols_per_word"),
-        _share(m["stops"], m["n_words"]).alias("stop_word_share"), _share(m["uppers"], m["n_words"]).alias("upper_word_share"),
+        F.when(2 * m["latin"] >= m["n_words"], _share(m["stops"], m["n_words"])).alias("stop_word_share"), _share(m["uppers"], m["n_words"]).alias("upper_word_share"),
         _share(m["lines"]["dup"], m["lines"]["n"]).alias("dup_line_share"),
         ((m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeated_percent * m["n_words"])).alias("base_failed"))
     broken = []
@@ -105,7 +112,8 @@ def _sql_words(text: str) -> str:
 def oracle() -> str:
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
     tests = []
-    sql = {"mean_word_chars": "word_chars / n_words", "symbols_per_word": "n_symbols / n_words", "stop_word_share": "stops / n_words",
+    sql = {"mean_word_chars": "word_chars / n_words", "symbols_per_word": "n_symbols / n_words",
+           "stop_word_share": "CASE WHEN 2 * latin >= n_words THEN stops / n_words END",
            "upper_word_share": "uppers / n_words", "dup_line_share": "n_dup_lines / n_lines"}
     for name, (least, most) in RULES.items():
         tests += [f"coalesce({sql[name]} >= {least}, true)"] if least is not None else []
@@ -120,6 +128,7 @@ l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matc
 m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines,
   coalesce(v.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS stops,
+  len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]'))) AS latin,
   len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1)) AS uppers
   FROM d JOIN l USING (doc_id) LEFT JOIN v USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
