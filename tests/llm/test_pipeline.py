@@ -48,3 +48,27 @@ def test_nulls_and_repeated_rows_stay_single(spark):
     assert corpus_pipeline.quality_stage(spark, docs, SF_DIR).count() == 4
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_different_texts_of_one_id_all_stay(spark):
+    text = lambda k: " ".join(f"the {k} word{i} of" for i in range(60))
+    rows = [(3, text("a")), (3, text("b")), (5, text("b")), (6, text("c")), (None, text("d")), (None, text("e")), (None, text("e")), (7, text("a") + " end"), (8, text("c")), (9, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, 2) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _node int")
+    kept = sorted(((r.doc_id, (r.text or "")[:8]) for r in corpus_pipeline.duplicate_stage(spark, docs, SF_DIR).collect()), key=repr)
+    # 5 holds the second text of the shared id 3, and 7 the first one with a word more
+    assert kept == sorted([(7, "the a wo"), (5, "the b wo"), (6, "the c wo"), (None, "the d wo"), (None, "the e wo"), (9, ""), (9, "")], key=repr)
+
+
+def test_clean_texts_of_other_scripts_and_mixed_ones_stay(spark):
+    named = spark.read.parquet(f"{SF_DIR}/documents.parquet").filter("lang IS NOT NULL AND n_chars > 1500")
+    rows = named.select("lang", "text").collect()
+    first = {r.lang: " ".join(r.text.split()[:120]) for r in rows}
+    mixed = "\n".join(first[k] for k in sorted(first))
+    greek = " ".join(f"λέξη{'αβγδ'[i % 4]}{'εζηθ'[i // 4 % 4]}{'ικλμ'[i // 16 % 4]}" for i in range(80))
+    extra = spark.createDataFrame([(10**7, mixed, None, "s", len(mixed)), (10**7 + 1, greek, None, "s", len(greek))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = named.select(*corpus_pipeline.COLUMNS).unionByName(extra)
+    good = materialize(corpus_pipeline.quality_stage(spark, docs, SF_DIR), "test")
+    assert {r.doc_id for r in good.collect()} >= {10**7, 10**7 + 1}
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, good, SF_DIR).collect()}
+    # no labelled text is Greek, so its language is unknown; the text of all languages stays
+    assert 10**7 in kept and kept[10**7] in first
