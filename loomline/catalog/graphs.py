@@ -302,7 +302,7 @@ def _(spark, d):
 SELECT node, level, array_to_string(path, '/') AS path, row_number() OVER (ORDER BY trail) - 1 AS preorder FROM t""")
 def _(spark, d):
     tree = trees.tree_levels(place_tree(spark, d), "root")
-    return trees.preorder(tree).select("node", "level", F.array_join("path", "/").alias("path"), "preorder")
+    return tree.join(trees.tree_paths(tree), "node").select("node", "level", "path", F.col("pre").alias("preorder"))
 
 
 @query("tree_counts_and_search", "WITH RECURSIVE " + _TREE + """,

@@ -1,11 +1,10 @@
 """Bridges, articulation points and minimum spanning forests.
 
-Bridges and articulation points come from one exact pass over a breadth-first
-forest: subtree sizes and preorder numbers, then for each subtree the lowest and
-highest preorder number its non-tree edges reach. Tree edges whose subtrees are
-linked from outside belong to one block; blocks are connected components of that
-relation. Work is linear in the edges per tree level; no node or edge is removed
-and re-tested.
+Bridges and articulation points come from one exact pass over any spanning forest (Tarjan and Vishkin's): an Euler tour
+gives preorder places and subtree intervals, folds over intervals give the lowest and highest place that the non-tree
+edges of each subtree reach. Tree edges whose subtrees are linked from outside belong to one block; blocks are
+connected components of that relation. All of it takes log-many rounds, however deep the forest is; no node or edge is
+removed and re-tested.
 """
 
 from __future__ import annotations
@@ -15,61 +14,22 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.graph.edges import both_directions
-from loomline.operators.graph.traverse import bfs_levels, connected_components
-from loomline.plans.ordered import ordered_window, running
+from loomline.operators.graph.tours import forest_tour, interval_folds
 from loomline.session import discard, materialize, materialize_some
 
 
-def _up_the_levels(tree: DataFrame, depth: int, columns: dict[str, str]) -> DataFrame:
-    """Fold columns over subtrees, deepest level first. ``columns``: name -> sum|min|max."""
-    fold = {"sum": F.sum, "min": F.min, "max": F.max}
-    join2 = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
-    below, parts = None, []
-    for level in range(depth, -1, -1):
-        here = tree.filter(F.col("level") == level)
-        if below is not None:
-            sums = below.groupBy(F.col("parent").alias("node")).agg(
-                *[fold[kind](name).alias(f"_b_{name}") for name, kind in columns.items()])
-            here = here.join(sums, "node", "left").select(
-                *[c for c in tree.columns if c not in columns],
-                *[join2[kind](F.col(name), F.col(f"_b_{name}")).alias(name) for name, kind in columns.items()])
-        below = materialize(here, "up")
-        parts.append(below)
-    return reduce(DataFrame.unionByName, [p.select(*tree.columns) for p in parts])
-
-
 def block_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, parent, level, bridge, block): one row per node of a breadth-first forest.
+    """(node, parent, bridge, block): one row per node of a spanning forest.
 
     ``block`` names the biconnected block of the tree edge above the node, and
     ``bridge`` tells whether that edge is a bridge; both are NULL at roots.
     """
     pairs = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     pairs = materialize(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies")), "pairs")
-    nodes = materialize(nodes.select("id"), "nodes")
-    roots = connected_components(nodes, pairs).select(F.col("component").alias("id")).distinct()
-    tree = materialize(bfs_levels(both_directions(pairs), roots).drop("source"), "tree")
-    depth = tree.agg(F.max("level")).first()[0]
-    if depth is None:
-        return tree.withColumns({"bridge": F.lit(None).cast("boolean"), "block": F.col("node")})
-
-    sized = materialize(_up_the_levels(tree.withColumn("size", F.lit(1).cast("bigint")), depth, {"size": "sum"}), "sized")
-    inner = sized.filter("parent is not null")
-    offsets = ordered_window(inner, ["node"], {"_upto": running("sum", F.col("size"))}, keys=["parent"])
-    offsets = offsets.select("node", (F.col("_upto") - F.col("size") + 1).alias("pre"))
-    # preorder = sum of the offsets on the way to the root, by pointer jumping
-    ranked, more = materialize_some(sized.join(offsets, "node", "left").select(
-        "node", F.coalesce("pre", F.lit(0)).alias("pre"), F.col("parent").alias("up")), "pre", F.col("up").isNotNull())
-    while more:
-        before = ranked
-        above = ranked.select(F.col("node").alias("_n"), F.col("pre").alias("_p"), F.col("up").alias("_u"))
-        ranked, more = materialize_some(ranked.join(above, F.col("up") == F.col("_n"), "left").select(
-            "node", (F.col("pre") + F.coalesce("_p", F.lit(0))).alias("pre"), F.col("_u").alias("up")), "pre", F.col("up").isNotNull())
-        discard(before)
-    placed = materialize(sized.join(ranked.drop("up"), "node"), "placed")
-
-    side = placed.select("node", "parent", "pre", "size")
+    chosen, labels = spanning_forest(pairs.withColumn("w", F.lit(0)))
+    forest = forest_tour(chosen, labels.groupBy("component").agg(F.min("id").alias("node")).select("node"))
+
+    side = forest.select("node", "parent", "pre", "size")
     a = side.select(F.col("node").alias("src"), F.col("parent").alias("_pa"), F.col("pre").alias("_a"), F.col("size").alias("_sa"))
     b = side.select(F.col("node").alias("dst"), F.col("parent").alias("_pb"), F.col("pre").alias("_b"), F.col("size").alias("_sb"))
     known = pairs.join(a, "src").join(b, "dst")
@@ -79,9 +39,9 @@ def block_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = cross.select(F.col("src").alias("node"), F.col("_b").alias("seen")).unionByName(
         cross.select(F.col("dst").alias("node"), F.col("_a").alias("seen")))
     ends = ends.groupBy("node").agg(F.min("seen").alias("_lo"), F.max("seen").alias("_hi"))
-    reach = placed.join(ends, "node", "left").select(
-        "node", "parent", "level", "pre", "size", F.least("pre", "_lo").alias("low"), F.greatest("pre", "_hi").alias("high"))
-    reach = materialize(_up_the_levels(materialize(reach, "reach"), depth, {"low": "min", "high": "max"}), "reach")
+    own = forest.join(ends, "node", "left").select("node", "tree", "pre", "size", F.least("pre", "_lo").alias("low"), F.greatest("pre", "_hi").alias("high"))
+    folded = interval_folds(materialize(own, "own"), {"low": "min", "high": "max"})
+    reach = materialize(forest.join(folded, "node"), "reach")
 
     twins = known.filter("tree and copies > 1").select(
         F.when(F.col("_pb").eqNullSafe(F.col("src")), F.col("dst")).otherwise(F.col("src")).alias("node"), F.lit(True).alias("_twin"))
@@ -95,9 +55,12 @@ def block_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     apart = (F.col("_a") + F.col("_sa") <= F.col("_b")) | (F.col("_b") + F.col("_sb") <= F.col("_a"))
     links = upward.select(F.col("node").alias("src"), F.col("_m").alias("dst")).unionByName(
         cross.filter(apart).select("src", "dst"))
-    blocks = connected_components(reach.filter("parent is not null").select(F.col("node").alias("id")), links)
-    return marked.join(blocks.withColumnRenamed("id", "node"), "node", "left").select(
-        "node", "parent", "level", "bridge", F.col("component").alias("block"))
+    blocks = spanning_forest(links.withColumn("w", F.lit(0)))[1].select(F.col("id").alias("node"), "component")
+    block = F.when(F.col("parent").isNotNull(), F.coalesce("component", "node"))
+    found = marked.join(blocks, "node", "left").select("node", "parent", "bridge", block.alias("block"))
+    alone = nodes.select(F.col("id").alias("node")).join(forest, "node", "left_anti")
+    bare = ("parent", "bridge", "block")
+    return found.unionByName(alone.select("node", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in bare]))
 
 
 def bridges(forest: DataFrame) -> DataFrame:
@@ -114,7 +77,18 @@ def articulation_points(forest: DataFrame) -> DataFrame:
 
 
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
-    """(src, dst, w) of the minimum spanning forest; ties by (w, src, dst).
+    """(src, dst, w) of the minimum spanning forest; ties by (w, src, dst)."""
+    return spanning_forest(edges)[0]
+
+
+def _jumped(heads: DataFrame) -> DataFrame:
+    up = heads.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
+    return heads.join(up, F.col("p") == F.col("_c")).select("c", F.col("_p").alias("p"), (F.col("p") != F.col("_p")).alias("moved"))
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The minimum spanning forest (src, dst, w) of ``edges``, ties by (w, src, dst), and the component (id, component) of each
+    node that has an edge to another; a component is named by one of its nodes.
 
     Each round every component picks its lightest outgoing edge (a map-side
     combined minimum) and the picks merge by pointer jumping: at most log2(V)
@@ -123,6 +97,10 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     flat = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
     best = F.min(F.struct("w", "src", "dst")).alias("e")
     work, more = materialize_some(flat.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(best), "mst")
+    if not more:
+        return flat.limit(0), flat.limit(0).select(F.col("src").alias("id"), F.col("src").alias("component"))
+    label = work.select(F.col("a").alias("id")).unionByName(work.select(F.col("b").alias("id"))).distinct()
+    label = materialize(label.select("id", F.col("id").alias("component")), "label")
     chosen = []
     while more:
         out = work.select(F.col("a").alias("c"), F.col("b").alias("o"), "e").unionByName(
@@ -133,20 +111,16 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
         back = picks.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
         root = F.col("_p").eqNullSafe(F.col("c")) & (F.col("c") < F.col("p"))
         heads = picks.join(back, F.col("p") == F.col("_c")).select("c", F.when(root, F.col("c")).otherwise(F.col("p")).alias("p"))
-        heads = materialize(heads, "heads")
         jumping = True
         while jumping:
-            up = heads.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
-            jumped = heads.join(up, F.col("p") == F.col("_c")).select("c", F.col("_p").alias("p"), (F.col("p") != F.col("_p")).alias("moved"))
             before = heads
-            heads, jumping = materialize_some(jumped, "heads", F.col("moved"))
+            heads, jumping = materialize_some(_jumped(_jumped(heads)), "heads", F.col("moved"))
             discard(before)
         ha = heads.select(F.col("c").alias("a"), F.col("p").alias("_a"))
         hb = heads.select(F.col("c").alias("b"), F.col("p").alias("_b"))
-        before = work
+        before = work, label, heads
+        label = materialize(label.join(heads, F.col("component") == F.col("c"), "left").select("id", F.coalesce("p", "component").alias("component")), "label")
         merged = work.join(ha, "a").join(hb, "b").filter("_a <> _b")
         work, more = materialize_some(merged.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e")), "mst")
-        discard(before, heads)
-    if not chosen:
-        return flat.limit(0)
-    return reduce(DataFrame.unionByName, chosen).distinct()
+        discard(*before)
+    return reduce(DataFrame.unionByName, chosen).distinct(), label

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import quality
 from loomline.operators.graph import cuts, dag, edges as ge, ranks, traverse, trees
+from loomline.session import materialize
 
 
 def adjacency_of(pairs):
@@ -140,7 +141,8 @@ def test_centralities_against_brute_force(spark):
 def test_tree_search(spark):
     links = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("a", "c", 1), ("a", "d", 2), ("d", "e", 1)], "parent string, child string, rank int")
     tree = trees.tree_levels(links, "r")
-    assert [r.node for r in trees.preorder(tree).orderBy("preorder").collect()] == list("racdeb")
+    assert [r.node for r in tree.orderBy("pre").collect()] == list("racdeb")
+    assert {r.node: r.path for r in trees.tree_paths(tree).collect()} == {"r": "r", "a": "r/a", "b": "r/b", "c": "r/a/c", "d": "r/a/d", "e": "r/a/d/e"}
     counts = {r.node: (r.nodes, r.leaves, r.depth) for r in trees.subtree_counts(tree).collect()}
     assert counts == {"r": (6, 3, 3), "a": (4, 2, 2), "b": (1, 1, 0), "c": (1, 1, 0), "d": (2, 1, 1), "e": (1, 1, 0)}
     hit = F.col("node").isin("d", "e", "b")
@@ -148,6 +150,73 @@ def test_tree_search(spark):
     assert trees.find_first(tree, hit).first().node == "d"
 
 
+def test_random_trees_and_unreached_nodes(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(max(0, k - 6), k), k, rng.random()) for k in range(1, 70)] + [(900, 901, 1.0), (901, 902, 1.0), (950, 951, 1.0), (951, 950, 1.0)]
+    tree = trees.tree_levels(spark.createDataFrame(links, "parent long, child long, rank double"), 0)
+    kids = {}
+    for p, c, r in sorted(links, key=lambda x: x[2]):
+        kids.setdefault(p, []).append(c)
+    want, order = {}, []
+
+    def walk(v, level):
+        order.append(v)
+        at, parts = len(order) - 1, [walk(c, level + 1) for c in kids.get(v, [])]
+        size, leaves, depth = 1 + sum(p[0] for p in parts), sum(p[1] for p in parts) or 1, max((p[2] + 1 for p in parts), default=0)
+        want[v] = (level, at, size, leaves, depth)
+        return size, leaves, depth
+
+    walk(0, 0)
+    counts = {r.node: r.depth for r in trees.subtree_counts(tree).collect()}
+    assert {r.node: (r.level, r.pre, r["size"], r.leaves, counts[r.node]) for r in tree.collect()} == want
+    up = {c: p for p, c, _ in links}
+    hit = {v for v in want if v % 5 in (0, 3) and v}
+    above = lambda v: v != 0 and (up[v] in hit or above(up[v]))
+    found = trees.topmost_matches(tree, F.col("node").isin(sorted(hit)))
+    assert {r.node for r in found.collect()} == {v for v in hit if not above(v)} and found.columns == tree.columns
+
+
+def test_a_chain_of_100000_nodes_takes_log_many_rounds(spark, monkeypatch):
+    from loomline.operators.graph import tours
+    rounds, doubled = [], tours._doubled
+    monkeypatch.setattr(tours, "_doubled", lambda *a: rounds.append(1) or doubled(*a))
+    n = 100_000
+    links = spark.range(1, n).select((F.col("id") - 1).alias("parent"), F.col("id").alias("child"), F.lit(1).alias("rank"))
+    tree = trees.tree_levels(links, 0)
+    assert len(rounds) <= 20
+    row = tree.agg(F.count("*").alias("n"), F.count_if((F.col("level") == F.col("node")) & (F.col("pre") == F.col("node")) & (F.col("size") == n - F.col("node"))).alias("right")).first()
+    assert (row.n, row.right) == (n, n)
+
+
+def test_cuts_of_forests_with_twins_loops_and_lone_nodes(spark):
+    for seed in range(2):
+        rng = random.Random(seed)
+        rows = [(a, b, 1.0) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(36))] + [(80, 81, 1.0), (81, 80, 1.0), (90, 90, 1.0)]
+        edges = spark.createDataFrame(rows, "src long, dst long, w double")
+        forest = materialize(cuts.block_forest(ge.build_graph(edges)[0], edges), "forest")
+        pairs = {(min(a, b), max(a, b)) for a, b, _ in rows if a != b}
+        adj, twins = adjacency_of(pairs), {p for p in pairs if sum({a, b} == set(p) for a, b, _ in rows) > 1}
+        assert {(r.src, r.dst) for r in cuts.bridges(forest).collect()} == {p for p in pairs - twins if p[1] not in reach(adj, p[0], without_edge=set(p))}
+        assert {r.id for r in cuts.articulation_points(forest).collect()} == {x for x in adj if any(
+            q not in reach(adj, p, without_node=x) for p, q in itertools.combinations(adj[x], 2))}
+        assert {r.node for r in forest.collect()} == {x for a, b, _ in rows for x in (a, b)}
+
+
+def test_a_path_of_100000_nodes_with_chords(spark, monkeypatch):
+    from loomline.operators.graph import tours
+    rounds, doubled = [], tours._doubled
+    monkeypatch.setattr(tours, "_doubled", lambda *a: rounds.append(1) or doubled(*a))
+    n = 100_000
+    path = spark.range(1, n).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    chords = spark.range(0, n - 10, 1000).select(F.col("id").alias("src"), (F.col("id") + 7).alias("dst"))
+    edges = path.unionByName(chords)
+    forest = materialize(cuts.block_forest(spark.range(n), edges), "forest")
+    assert len(rounds) <= 20
+    # a chord closes seven edges of the path; the points inside stay joined without each other
+    assert cuts.bridges(forest).count() == n - 1 - 7 * (n // 1000)
+    assert cuts.articulation_points(forest).count() == n - 2 - 6 * (n // 1000)
+
+
 def test_edge_checks(spark):
     edges = spark.createDataFrame([("a", "b", -1.0), ("a", "a", 1.0), ("", "b", 1.0), ("a", "b", 2.0)], "src string, dst string, w double")
     assert {r.finding for r in quality.graph_findings(edges).collect()} == {"negative weight", "self-loop", "empty id"}
