@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.components import contracted
-from loomline.session import materialize, materialize_some, shuffle_width
+from loomline.session import discard, materialize, materialize_some, shuffle_width
 
 WORDS, PERCENT = 5, 75
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 16_000
@@ -256,8 +256,9 @@ class PrefixTree:
                 stack.extend((c, overlap) for c in children)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of the pairs (a, b) whose sets reach the threshold; a set is compared with one tree of its candidates."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, bool]:
+    """(src, dst) of the pairs (a, b) whose sets reach the threshold, written, and whether there are any; a set is compared
+    with one tree of its candidates."""
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / GROUP)).alias("salt"))
     salted = materialize(salted, "pairs")
@@ -284,7 +285,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 (held if r["side"] else queries).append((r["_id"], r["n"], np.frombuffer(r["shared"], np.int64)))
         yield from links()
 
-    return grouped.mapInArrow(compare, "src long, dst long")
+    found = materialize_some(grouped.mapInArrow(compare, "src long, dst long"), "links")
+    discard(salted)
+    return found
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -324,9 +327,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                 fits(F.col("n"), F.col("rest"), F.col("_n"), F.col("_rest"))).select(F.col("doc_id").alias("a"), F.col("_doc_id").alias("b"))
         pairs, any_pair = materialize_some(pairs.distinct(), "candidates")
         if any_pair:
-            found, any_link = materialize_some(_verified(pairs, sets, percent), "links")
+            found, any_link = _verified(pairs, sets, percent)
             if any_link:
                 label = contracted(label, found)
+            discard(found)
+        discard(pairs)
+    # what follows needs no sets; they would stay on disk as long as the result is read
+    narrow = materialize(all_sets.select("doc_id", "n", "key"), "keys")
+    discard(all_sets, sets, entries)
+    all_sets = narrow
+    classes = all_sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     joined = all_sets.select(F.col("doc_id").alias("_doc"), "n", "key").join(classes, "key", "left")
     joined = joined.join(label, F.col("rep") == F.col("id"), "left")
     return joined.select(F.col("_doc").alias("doc_id"), F.col("n").alias("n_shingles"),
