@@ -5,41 +5,106 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomline.session import materialize, materialize_some
+from loomline.session import discard, materialize, materialize_some
+
+
+#: Layers from here on belong to items on or behind a cycle.
+_NEVER = 1 << 60
+#: Ways over an item of more dependencies are not tried when edges are thinned out; that costs rounds, never results.
+_FEW = 8
 
 
 def topological_layers(items: DataFrame, deps: DataFrame) -> DataFrame:
     """(id, layer): 0 without dependencies, else 1 + the deepest dependency's layer.
 
-    Items on or behind a cycle get a NULL layer. Each round peels the items with
-    no open dependency; finished dependencies are dropped from the edge table
-    every few rounds, so it shrinks with the work left.
+    Items on or behind a cycle get a NULL layer; a NULL dependency is none. The layer of an item with one dependency is
+    ``max(base, layer of that one + w)``, and such steps put together are again one such step. So all items of at most one
+    open dependency are folded into what they hang on by pointer doubling, the others' edges then lead there (the longest
+    of equal ends stays, known layers go into ``base``), and this repeats with the items left: a chain of any length is
+    one round, and what no round can fold any more is cyclic.
     """
-    links = materialize(deps.select("item", "depends_on").distinct(), "deps")
-    known = items.select("id").unionByName(links.select(F.col("item").alias("id"))).unionByName(
-        links.select(F.col("depends_on").alias("id"))).distinct()
-    need = links.groupBy(F.col("item").alias("id")).agg(F.count(F.lit(1)).alias("need"))
-    state = known.join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need"))
-    done, layer = [], 0
+    links = deps.select("item", "depends_on")
+    nodes = items.select("id").unionByName(links.select(F.col("item").alias("id"))).unionByName(links.select(F.col("depends_on").alias("id")))
+    nodes = nodes.filter("id IS NOT NULL").distinct().withColumn("base", F.lit(0).cast("long"))
+    looped = links.filter("item = depends_on").select(F.col("item").alias("id")).distinct()
+    nodes = materialize(nodes.join(looped.withColumn("_loop", F.lit(True)), "id", "left").select(
+        "id", F.when(F.col("_loop"), F.lit(_NEVER)).otherwise(F.col("base")).alias("base")), "open")
+    edges = materialize(links.filter("depends_on IS NOT NULL").distinct().join(
+        looped.withColumnRenamed("id", "item"), "item", "left_anti").select("item", "depends_on", F.lit(1).cast("long").alias("w")), "deps")
+    folded = []
     while True:
-        state, more = materialize_some(state.withColumn("ready", F.col("need") <= 0), "layers", F.col("ready"))
-        ready, rest = state.filter("ready").select("id"), state.filter("not ready")
-        if not more:
+        edges = _without_shorter_ways(edges)
+        ways = edges.groupBy(F.col("item").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("depends_on").alias("up"), F.max("w").alias("w"))
+        state, many = materialize_some(nodes.join(ways, "id", "left").select("id", "base", "up", "w", F.coalesce("n", F.lit(0)).alias("n")), "open", F.col("n") > 1)
+        thin = state.filter("n <= 1").select("id", "up", "w", "base")
+        if many and thin.isEmpty():
+            folded.append(state.select("id", F.col("up"), "w", F.lit(_NEVER).alias("base")).withColumn("up", F.when(F.lit(False), F.col("up"))))
+            break
+        done = _fold(thin)
+        folded.append(done)
+        if not many:
             break
-        done.append(ready.withColumn("layer", F.lit(layer).cast("bigint")))
-        layer += 1
-        if layer % 8 == 0:
-            links = materialize(links.join(rest.select(F.col("id").alias("item")), "item", "left_semi").join(
-                ready.select(F.col("id").alias("depends_on")).unionByName(rest.select(F.col("id").alias("depends_on"))),
-                "depends_on", "left_semi"), "deps")
-        freed = links.join(ready.withColumnRenamed("id", "depends_on"), "depends_on").select(
-            F.col("item").alias("id"), F.lit(-1).cast("bigint").alias("need"))
-        state = rest.select("id", "need").unionByName(freed).groupBy("id").agg(F.sum("need").alias("need"))
-    stuck = rest.select("id", F.lit(None).cast("bigint").alias("layer"))
-    return reduce(DataFrame.unionByName, [*done, stuck])
+        ends = done.select(F.col("id").alias("depends_on"), F.lit(True).alias("_hit"), F.col("up").alias("_up"), F.col("w").alias("_w"), F.col("base").alias("_base"))
+        thick = state.filter("n > 1").select("id", "base")
+        told = edges.join(thick.select(F.col("id").alias("item")), "item", "left_semi").join(ends, "depends_on", "left").select(
+            "item", F.when(F.col("_hit"), F.col("_up")).otherwise(F.col("depends_on")).alias("depends_on"),
+            F.when(F.col("_hit"), F.col("w") + F.col("_w")).otherwise(F.col("w")).alias("w"),
+            F.when(F.col("_hit"), F.col("w") + F.col("_base")).otherwise(F.lit(0)).alias("base"))
+        told = materialize(told, "told")
+        bases = told.groupBy(F.col("item").alias("id")).agg(F.max(F.when(F.col("item") == F.col("depends_on"), F.lit(_NEVER)).otherwise(F.col("base"))).alias("_base"))
+        before = edges
+        nodes = materialize(thick.join(bases, "id").select("id", F.greatest("base", "_base").alias("base")), "open")
+        still = nodes.filter(F.col("base") < _NEVER).select(F.col("id").alias("item"))
+        edges = told.filter("depends_on IS NOT NULL").groupBy("item", "depends_on").agg(F.max("w").alias("w")).join(still, "item", "left_semi")
+        edges = materialize(edges, "deps")
+        discard(before, told, state)
+    known = folded[0] if len(folded) == 1 else _fold(materialize(reduce(DataFrame.unionByName, folded), "folded"))
+    return known.select("id", F.when(F.col("base") < _NEVER, F.col("base")).alias("layer"))
+
+
+def _without_shorter_ways(edges: DataFrame) -> DataFrame:
+    """``edges`` without those beside a way of two edges that is as long and stays itself, so layers and cycles are the same."""
+    few = edges.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= _FEW).select("item")
+    second = edges.join(few, "item", "left_semi").select(F.col("item").alias("mid"), F.col("depends_on").alias("to"), F.col("w").alias("w2"))
+    first = edges.select("item", F.col("depends_on").alias("mid"), F.col("w").alias("w1"))
+    ways = first.join(second, "mid").filter("item <> to").select("item", "mid", F.col("to").alias("depends_on"), (F.col("w1") + F.col("w2")).alias("way"))
+    beside, some = materialize_some(edges.join(ways, ["item", "depends_on"]).filter("way >= w").select("item", "mid", "depends_on"), "beside")
+    if not some:
+        return edges
+    doubtful = beside.select("item", "depends_on").distinct()
+    sure = beside.join(doubtful.withColumnRenamed("depends_on", "mid"), ["item", "mid"], "left_anti").join(
+        doubtful.withColumnRenamed("item", "mid"), ["mid", "depends_on"], "left_anti").select("item", "depends_on").distinct()
+    return materialize(edges.join(sure, ["item", "depends_on"], "left_anti"), "deps")
+
+
+def _fold(steps: DataFrame) -> DataFrame:
+    """``steps`` (id, up, w, base), each put together with those it leads to until ``up`` is none of them, or NULL.
+
+    Steps on or behind a circle end with ``up`` NULL and a ``base`` of ``_NEVER``.
+    """
+    seen = Observation()
+    steps = materialize(steps.withColumn("going", F.col("up").isNotNull()).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("going")).alias("going")), "fold")
+    rounds, going = seen.get["n"].bit_length() + 2, seen.get["going"] > 0
+    while going and rounds > 0:
+        # two doublings in one job: tables of few rows spend more on jobs than on joins
+        after, going = materialize_some(_folded_once(_folded_once(steps)), "fold", F.col("going"))
+        discard(steps)
+        steps, rounds = after, rounds - 2
+    return steps.select("id", F.when(~F.col("going"), F.col("up")).alias("up"), "w", F.when(F.col("going"), F.lit(_NEVER)).otherwise(F.col("base")).alias("base"))
+
+
+def _folded_once(steps: DataFrame) -> DataFrame:
+    far = steps.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("w").alias("_w"), F.col("base").alias("_base"))
+    hit = F.col("_id").isNotNull()
+    moved = steps.filter("going").join(far, F.col("up") == F.col("_id"), "left").select(
+        "id", F.when(hit, F.col("_up")).otherwise(F.col("up")).alias("up"),
+        F.when(hit, F.col("w") + F.col("_w")).otherwise(F.col("w")).alias("w"),
+        F.when(hit, F.greatest(F.col("base"), F.col("w") + F.col("_base"))).otherwise(F.col("base")).alias("base"),
+        (hit & F.col("_up").isNotNull()).alias("going"))
+    return steps.filter("not going").unionByName(moved)
 
 
 def ready_items(items: DataFrame, deps: DataFrame, pending: str = "pending", completed: str = "completed") -> DataFrame:

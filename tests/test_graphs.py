@@ -106,6 +106,46 @@ def test_layers_cycles_and_ready(spark):
     assert {tuple(r.cycle) for r in dag.find_cycles(deps, 5).collect()} == {(4, 5, 4), (7, 7)}
 
 
+def peeled(ids, deps):
+    open_, layers, level = {x: {b for a, b in deps if a == x} for x in ids}, dict.fromkeys(ids), 0
+    while ready := [x for x, need in open_.items() if not need]:
+        layers |= dict.fromkeys(ready, level)
+        open_ = {x: need - set(ready) for x, need in open_.items() if x not in ready}
+        level += 1
+    return layers
+
+
+@pytest.mark.parametrize(("seed", "back"), [(1, 0), (2, 0), (3, 2), (4, 40)])
+def test_layers_of_random_graphs(spark, seed, back):
+    rng = random.Random(seed)
+    deps = {(max(p), min(p)) for p in (rng.sample(range(60), 2) for _ in range(110))} | {(k, k - j) for k in range(103, 130) for j in (1, 2, 3)}
+    deps |= {tuple(rng.sample(range(60), 2)) for _ in range(back)}
+    frame = spark.createDataFrame([*deps, *list(deps)[:5], (200, None)], "item long, depends_on long")
+    ids = {x for d in deps for x in d} | {200, 300}
+    got = dag.topological_layers(spark.createDataFrame([(300,)], "id long"), frame).collect()
+    assert {r.id: r.layer for r in got} == peeled(ids, deps) and len(got) == len(ids)
+
+
+def test_layers_of_a_dense_circle_are_null(spark):
+    deps = spark.createDataFrame([(a, b) for a in range(4) for b in range(4) if a != b] + [(9, 1), (1, 8)], "item long, depends_on long")
+    got = {r.id: r.layer for r in dag.topological_layers(deps.select(F.col("item").alias("id")), deps).collect()}
+    assert got == {**dict.fromkeys((0, 1, 2, 3, 9)), 8: 0}
+
+
+def test_layers_of_a_chain_of_50000(spark, monkeypatch):
+    rounds, once = [], dag._folded_once
+    monkeypatch.setattr(dag, "_folded_once", lambda s: rounds.append(1) or once(s))
+    chain = spark.range(1, 50_000).select(F.col("id").alias("item"), F.explode(F.array(F.col("id") - 1, F.greatest(F.col("id") - 2, F.lit(0)))).alias("depends_on"))
+    layers = dag.topological_layers(spark.range(1), chain)
+    assert layers.agg(F.count("*"), F.count_if(F.col("layer") == F.col("id"))).first() == (50_000, 50_000)
+    assert len(rounds) <= 20
+
+
+def test_layers_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "item long, depends_on long")
+    assert dag.topological_layers(spark.range(0), none).count() == 0
+
+
 def test_pagerank_against_loops(spark):
     rows = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("a", "c"), ("c", "d")]
     edges = spark.createDataFrame([(*r, 1.0) for r in rows], "src string, dst string, w double")
