@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from loomline.operators.graph.tours import list_sums
 from loomline.session import discard, materialize, materialize_some
 
 
@@ -129,6 +130,93 @@ def cyclic_core(deps: DataFrame) -> DataFrame:
         core, size = trimmed, left
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every node that lies on a cycle; component = smallest id that it reaches and that reaches it.
+
+    ``edges`` are directed (src, dst); a loop is a cycle, rows with a NULL end are none. Ids are ordered by their hashes.
+    Every node gets the first id that reaches it and, along edges within one such colour, the first that it reaches. Where
+    both agree, the node is in that one's component. Found nodes go, edges between nodes that differ in either go too (no
+    cycle passes them), and the rest begins again.
+    """
+    links, more = materialize_some(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
+    loops = links.filter("src = dst").select("src")
+    found = []
+    while more:
+        ahead = _first_reaching(links)
+        inside = materialize(_within(links, ahead, ["first"]), "inside")
+        back = _first_reaching(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("first", "back")
+        both = materialize(ahead.join(back, "id", "left").select("id", "first", F.coalesce("back", _ranked("id")).alias("back")), "both")
+        found.append(both.filter("first = back").select("id", F.col("first.id").alias("_root")))
+        rest, more = materialize_some(_within(inside, both.filter("first <> back"), ["first", "back"]), "links")
+        discard(inside)
+        links = rest
+    if not found:
+        return links.select(F.col("src").alias("id"), F.col("src").alias("component"))
+    own = reduce(DataFrame.unionByName, found)
+    names = own.groupBy("_root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("_n"))
+    # a node alone in its component is on a cycle only by its own loop
+    kept = names.join(loops, F.col("_root") == F.col("src"), "left").filter("_n > 1 OR src IS NOT NULL").select("_root", "component")
+    return own.join(kept, "_root").select("id", "component")
+
+
+def _ranked(name: str) -> Column:
+    return F.struct(F.xxhash64(name).alias("rank"), F.col(name).alias("id"))
+
+
+def _within(links: DataFrame, marked: DataFrame, names: list[str]) -> DataFrame:
+    """The edges whose ends are both marked, and alike in the columns ``names``."""
+    for end in ("src", "dst"):
+        links = links.join(marked.select(F.col("id").alias(end), F.struct(*names).alias(f"_{end}")), end)
+    return links.filter("_src = _dst").select("src", "dst")
+
+
+def _first_reaching(edges: DataFrame) -> DataFrame:
+    """(id, first): the first id, by rank, from which the node can be reached, itself included.
+
+    What reaches the first one known so far reaches the node as well, so each round also looks up the value of the value:
+    with ranks that do not follow the edges, the ways looked back on grow by a factor each round.
+    """
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    state, more = materialize_some(ids.select("id", _ranked("id").alias("first")), "first")
+    while more:
+        offers = edges.join(state.select(F.col("id").alias("src"), F.col("first").alias("_o")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("_o").alias("_o"))
+        near = state.join(offers, "id", "left").select("id", F.col("first").alias("was"), F.least("first", "_o").alias("first"))
+        far = state.select(F.col("id").alias("_id"), F.col("first").alias("_far"))
+        jumped = near.join(far, F.col("first.id") == F.col("_id")).select("id", "was", F.least("first", "_far").alias("first"))
+        before = state
+        state, more = materialize_some(jumped, "first", F.col("first") < F.col("was"))
+        discard(before)
+        state = state.select("id", "first")
+    return state
+
+
+def witness_cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(component, place, node): one cycle in each strong component, from its smallest node on, ``place`` from 0.
+
+    Every node of a component steps to its smallest successor there; of the circles that these steps run into, the one
+    with the smallest node is shown. Circles are found and ranked by pointer doubling, so their length does not matter, and
+    a cycle is a row for each node, so none has to fit in one row.
+    """
+    own = materialize(strong_components(edges) if components is None else components, "components")
+    inside = edges.select("src", "dst").join(own.select(F.col("id").alias("src"), "component"), "src").join(
+        own.select(F.col("id").alias("dst"), F.col("component").alias("_c")), "dst").filter("component = _c")
+    steps = materialize(inside.groupBy(F.col("src").alias("id"), "component").agg(F.min("dst").alias("next")), "steps")
+    # after as many steps as there are nodes every place reached lies on a circle, and the least node seen from there is the circle's
+    far = steps.select("id", F.col("next").alias("at"), F.least("id", "next").alias("least"))
+    for _ in range(steps.count().bit_length()):
+        on = far.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("least").alias("_least"))
+        after = materialize(far.join(on, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at"), F.least("least", "_least").alias("least")), "far")
+        discard(far)
+        far = after
+    circles = steps.join(far.select(F.col("at").alias("id")).distinct(), "id", "left_semi").join(far.select("id", "least"), "id")
+    first = circles.groupBy("component").agg(F.min("least").alias("_first"))
+    circles = circles.join(first, "component").filter("least = _first")
+    stops = materialize(circles.select("component", "id", F.when(F.col("next") != F.col("least"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("left")), "stops")
+    ranked = list_sums(stops, ["left"]).select("id", "left").join(stops.select("id", "component"), "id")
+    length = ranked.groupBy("component").agg(F.max("left").alias("_n"))
+    return ranked.join(length, "component").select("component", (F.col("_n") - F.col("left")).alias("place"), F.col("id").alias("node"))
+
+
 def find_cycles(deps: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Every simple dependency cycle, once, as a closed array; of at most ``max_hops`` edges if that is given.
 

@@ -106,6 +106,48 @@ def test_layers_cycles_and_ready(spark):
     assert {tuple(r.cycle) for r in dag.find_cycles(deps, 5).collect()} == {(4, 5, 4), (7, 7)}
 
 
+def strong(pairs):
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(a, set()).add(b)
+    ahead = {x: set().union(*(set(reach(adj, y)) for y in adj[x])) for x in adj}
+    return {x: min(y for y in ahead[x] if x in ahead.get(y, ())) for x in adj if x in ahead[x]}
+
+
+def test_strong_components_and_their_cycles(spark):
+    rng = random.Random(6)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(75)} | {(k, k + 1) for k in range(70, 90)} | {(90, 75), (95, 95), (95, 96), (97, 70)}
+    edges = spark.createDataFrame([*pairs, *list(pairs)[:4], (1, None), (None, 2)], "src long, dst long")
+    own = materialize(dag.strong_components(edges), "own")
+    want = strong(pairs)
+    assert {r.id: r.component for r in own.collect()} == want and own.count() == len(want) > 20
+    step = {x: min(b for a, b in pairs if a == x and want.get(b) == want[x]) for x in want}
+    cycles = {}
+    for x in want:
+        seen = [x]
+        while step[seen[-1]] not in seen:
+            seen.append(step[seen[-1]])
+        circle = seen[seen.index(step[seen[-1]]):]
+        at = circle.index(min(circle))
+        cycles[want[x]] = min(cycles.get(want[x], [999]), circle[at:] + circle[:at])
+    rows = dag.witness_cycles(edges, own).collect()
+    assert {c: [r.node for r in sorted(rows, key=lambda r: r.place) if r.component == c] for c in cycles} == cycles
+    assert len(rows) == sum(map(len, cycles.values()))
+
+
+def test_no_cycles_in_a_chain_or_an_empty_table(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src long, dst long")
+    for frame in (edges, edges.limit(0)):
+        assert dag.strong_components(frame).count() == 0 and dag.witness_cycles(frame).count() == 0
+
+
+def test_a_circle_of_5000_nodes(spark):
+    n = 5_000
+    edges = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    cycle = dag.witness_cycles(edges)
+    assert cycle.agg(F.count("*"), F.count_if((F.col("node") == F.col("place")) & (F.col("component") == 0))).first() == (n, n)
+
+
 def peeled(ids, deps):
     open_, layers, level = {x: {b for a, b in deps if a == x} for x in ids}, dict.fromkeys(ids), 0
     while ready := [x for x, need in open_.items() if not need]:
