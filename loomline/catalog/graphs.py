@@ -86,6 +86,26 @@ def order_chains(spark, d):
     return items, deps.filter("depends_on is not null")
 
 
+def supplier_rivals(spark, d):
+    """Directed: a supplier to the strongest other supplier of each of the two parts it sells most of."""
+    sold = load(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    sold = materialize(sold, "sold")
+    best = ordered_window(sold, [F.col("q").desc(), "l_partkey"], {"n": row_number()}, keys=["l_suppkey"]).filter("n <= 2")
+    # the strongest other one is the first or the second seller of the part
+    sellers = ordered_window(sold, [F.col("q").desc(), "l_suppkey"], {"n": row_number()}, keys=["l_partkey"]).filter("n <= 2")
+    met = best.select("l_partkey", F.col("l_suppkey").alias("src")).join(sellers.select("l_partkey", F.col("l_suppkey").alias("dst"), "n"), "l_partkey")
+    rivals = met.filter("src <> dst").groupBy("src", "l_partkey").agg(F.min_by("dst", "n").alias("dst"))
+    return materialize(rivals.select("src", "dst").distinct(), "rivals")
+
+
+_RIVALS = """sold AS MATERIALIZED (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+best AS (SELECT l_suppkey AS src, l_partkey FROM sold QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey) <= 2),
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, l_suppkey AS dst FROM best JOIN sold USING (l_partkey) WHERE l_suppkey <> src
+  QUALIFY row_number() OVER (PARTITION BY src, l_partkey ORDER BY q DESC, l_suppkey) = 1)),
+way(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM way JOIN e ON src = b),
+own AS MATERIALIZED (SELECT x.a AS id, min(x.b) AS component FROM way x JOIN way y ON y.a = x.b AND y.b = x.a GROUP BY 1)"""
+
+
 def place_tree(spark, d):
     """root -> regions -> nations -> customers, children ranked by key."""
     region = load(spark, d, "region").select(F.lit("root").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("child"), F.col("r_regionkey").cast("bigint").alias("k"))
@@ -222,6 +242,22 @@ def _(spark, d):
     return dag.ready_items(*order_chains(spark, d)).select("id")
 
 
+@query("strong_components", "WITH RECURSIVE " + _RIVALS + " SELECT id, component FROM own")
+def _(spark, d):
+    return dag.strong_components(supplier_rivals(spark, d))
+
+
+@query("witness_cycles", "WITH RECURSIVE " + _RIVALS + """,
+f AS MATERIALIZED (SELECT src AS id, x.component, min(dst) AS next FROM e JOIN own x ON x.id = src JOIN own y ON y.id = dst AND y.component = x.component GROUP BY 1, 2),
+orbit(start, node) AS (SELECT id, next FROM f UNION SELECT start, next FROM orbit JOIN f ON f.id = node),
+least AS (SELECT component, min(node) AS m FROM orbit JOIN f ON f.id = start WHERE start IN (SELECT start FROM orbit WHERE node = start) GROUP BY 1),
+steps(component, m, place, node) AS (SELECT component, m, 0::BIGINT, m FROM least UNION ALL
+  SELECT steps.component, m, place + 1, next FROM steps JOIN f ON f.id = node WHERE next <> m)
+SELECT component, place, node FROM steps""")
+def _(spark, d):
+    return dag.witness_cycles(supplier_rivals(spark, d))
+
+
 @query("find_cycles", "WITH RECURSIVE " + _TRADE.replace("least(a, b) AS src, greatest(a, b) AS dst", "a AS src, b AS dst") + """,
 p(start, node, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst UNION ALL
   SELECT start, e.dst, list_append(path, e.dst) FROM p JOIN e ON e.src = p.node WHERE p.node <> start AND len(path) <= 4 AND e.dst >= start AND (e.dst = start OR NOT list_contains(path, e.dst)))
