@@ -4,8 +4,8 @@ File: ``TOKZ1``, the dictionary's SHA-256, the frames, the index, and a footer (
 documents). The index has for each document its id, frame place and size, and number of ids, so a short document is
 read by one seek. The dictionary lies beside the files as ``dictionary``; a reader refuses files of another one.
 
-The dictionary is trained on at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters, those with the
-smallest hashes of their ids (twice as many if ids repeat); everything else covers all rows. Documents are in ascending id order over the files.
+The dictionary is trained on stretches of about ``SAMPLE_DOCS`` documents, long ones too, those with the smallest hashes
+of id and text; a table of too few texts gets an empty one, with a warning. Everything else covers all rows. Documents are in ascending id order over the files.
 
 Defined cases: a null text is an empty one and holds the end id alone; a null id comes first and stays null; rows of
 one id follow each other; an empty table gives no file and no rows; other columns are ignored.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +31,29 @@ from loomline.session import shuffle_width
 MAGIC = b"TOKZ1\n"
 FOOTER = "<QQ"
 INDEX = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("place", "<u8"), ("size", "<u4"), ("n", "<u8")])
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 32 << 10
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEAST_DICTIONARY_BYTES = 1000, 4096, 32 << 10, 1 << 10
 BATCH_BYTES = 8 << 20
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A zstandard dictionary of serialized id arrays; empty when there are too few documents for one."""
-    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS))
-    share = SAMPLE_DOCS / max(1, short.count())
+    """A zstandard dictionary of serialized id arrays; empty, with a warning, when there are too few texts for one.
+
+    The sample: texts chosen by hash of id and text, equal ones once, of each a stretch of at most ``SAMPLE_CHARS``
+    characters from a place that its hash names. So it holds at most ``2 * SAMPLE_DOCS * SAMPLE_CHARS`` characters.
+    """
+    filled = docs.filter(F.length("text") > 0)
+    share = SAMPLE_DOCS / max(1, filled.count())
     border = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
-    some = short.filter(F.xxhash64("doc_id") <= border).select("text").limit(2 * SAMPLE_DOCS).collect()
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1))
+    chosen = filled.filter(F.xxhash64("doc_id", "text") <= border)
+    some = chosen.select(F.substring("text", place.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text")).distinct().limit(2 * SAMPLE_DOCS).collect()
     encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
-    samples = [encode(r.text) + end for r in some]
+    samples = [encode(text) + end for text in sorted(r.text for r in some)]
+    size = min(DICTIONARY_BYTES, max(LEAST_DICTIONARY_BYTES, sum(map(len, samples)) // 8))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError) as error:
+        warnings.warn(f"token files get no dictionary: {len(samples)} sampled texts train none ({error})", stacklevel=2)
         return b""
 
 

@@ -8,16 +8,15 @@ cut by plain string splitting; all other texts by the pattern of stretches. Corp
 once per Python worker; two caches of at most ``CACHE_WORDS`` entries each do the rest (when
 they are full, further words go through the library each time). Texts for which the rule is
 not certain (a special token's own text, or characters that only Python counts as white
-space) go through the library whole; a test compares both ways.
+space) go through the library whole, and so do all texts if the tokenizer file has a normalizer, another
+pre-tokenizer or another kind of model than this rule is for; a test compares both ways.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 
 CACHE_WORDS = 500_000
 #: The published cutting pattern of the byte-level BPE.
@@ -42,6 +41,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _cuts_as_here(path: str) -> bool:
+    """Whether the file describes byte-level BPE that cuts by ``PATTERN`` and changes nothing before."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    cut, model = told.get("pre_tokenizer") or {}, told["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+    return plain and not told.get("normalizer") and model.get("type") == "BPE" and not any(model.get(k) for k in odd)
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -50,6 +59,9 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_rule = _cuts_as_here(path)
         self.cache_words = cache_words
         self.stretches: dict[str, bytes] = {}
         self.blanks: dict[str, bytes] = {}  # by the characters after a blank, or by a line end and what follows
@@ -81,7 +93,7 @@ class WordEncoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(mark in text for mark in self.whole):
+        if not self.by_rule or any(mark in text for mark in self.whole):
             return self.by_library(text)
         first, *words = text.replace("\n", " \n").split(" ")
         # without other white space the counts are equal only if no piece is empty: none in a row, none at an end
@@ -106,10 +118,3 @@ def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
-
-
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of few rows, so that outputs of long texts stay small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)

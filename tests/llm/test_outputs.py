@@ -53,6 +53,31 @@ def test_texts_that_mix_white_space_equal_library(library):
         assert encode(t) == ids_of(library, t, 0)[:-1].tobytes(), repr(t)
 
 
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    changes = {"lower": ("normalizer", normalizers.Lowercase()), "prefix": ("pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=True)),
+               "digits": ("pre_tokenizer", pre_tokenizers.Sequence([pre_tokenizers.Digits(True), pre_tokenizers.ByteLevel(add_prefix_space=False)]))}
+    for name, (part, value) in changes.items():
+        changed = Tokenizer.from_file(tokens.default_tokenizer())
+        setattr(changed, part, value)
+        changed.save(str(tmp_path / name))
+        encode = tokens.WordEncoder(str(tmp_path / name))
+        for text in ("Hello World 1234\nAgain", "A\tB", ""):
+            assert encode(text) == ids_of(changed, text, 0)[:-1].tobytes(), name
+    assert tokens.WordEncoder(tokens.default_tokenizer()).by_rule
+
+
+def test_dictionary_of_long_texts_of_texts_without_id_and_of_too_few(spark):
+    words = [f"word{i}" for i in range(400)]
+    rng = random.Random(9)
+    path = tokens.default_tokenizer()
+    for ids, n, length in ((True, 150, 1500), (False, 600, 60)):
+        made = spark.createDataFrame([(i if ids else None, " ".join(rng.choices(words, k=length))) for i in range(n)], SCHEMA)
+        assert len(token_files.train_dictionary(made, path, 0)) > 1000
+    with pytest.warns(UserWarning, match="no dictionary"):
+        assert token_files.train_dictionary(spark.createDataFrame([(1, "same")] * 50, SCHEMA), path, 0) == b""
+
+
 def check_packing(found, want, library):
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in found:
