@@ -26,6 +26,7 @@ _PYTHON_ONLY_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: White space that is neither a blank nor a line end; texts that hold any are never split plainly.
 _OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _OTHER_ASCII_SPACE = "\t\x0b\x0c\r"
+_IN_A_ROW = ("  ", " \n", "\n ", "\n\n")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -95,11 +96,11 @@ class WordEncoder:
             return b""
         if not self.by_rule or any(mark in text for mark in self.whole):
             return self.by_library(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        # without other white space the counts are equal only if no piece is empty: none in a row, none at an end
         other = any(space in text for space in (_OTHER_ASCII_SPACE if text.isascii() else _OTHER_SPACE))
-        if other or len(text.split()) != len(words) + 1:
+        # plain splitting is right only without empty pieces: no two separators in a row, none at an end
+        if other or text[0] in " \n" or text[-1] in " \n" or any(pair in text for pair in _IN_A_ROW):
             return self._looked_up(_STRETCHES.findall(text), self.stretches, self._stretch)
+        first, *words = text.replace("\n", " \n").split(" ")
         return self._stretch(first) + self._looked_up(words, self.blanks, lambda w: self._stretch(w if w[:1] == "\n" else " " + w))
 
     def _looked_up(self, words: list[str], cache: dict[str, bytes], make) -> bytes:
