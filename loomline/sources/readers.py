@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.sources.csv_splits import csv_records, parse_records
+
 
 def read_text_lines(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """One row per line (``value``), or per file when ``whole``."""
@@ -29,15 +31,21 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def read_csv_records(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = ",",
-                     header: bool = True, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+                     header: bool = True, schema: T.StructType | str | None = None, multi_line: bool = True,
+                     by_file: bool = False) -> DataFrame:
     """Every value is text unless a schema is given; without header and names, columns are ``_c0``...
 
-    Quoted values can hold line breaks, so a file is read by one task. Without ``multi_line`` files split; only for
-    files known to have no line breaks in values, as others come out as damaged rows.
+    Quoted values can hold line breaks and files are split all the same (see ``csv_splits``); lines end in ``\\n`` or
+    ``\\r\\n``. Files of other line ends, and separators of several characters, take ``by_file``: one task a file.
+    Without ``multi_line`` a line is a record; only for files known to have no line breaks in values.
     """
     reader = spark.read.option("sep", sep).option("header", header).option("escape", '"').option("multiLine", multi_line)
     if schema is None and columns is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if multi_line and not by_file and len(sep) == 1:
+        return parse_records(csv_records(spark, path, sep), schema or reader.csv(path).schema, sep, header)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
