@@ -193,6 +193,49 @@ def _(spark, d):
     return found.select("source", "node", F.round("dist", 2).alias("dist"))
 
 
+def trade_links(spark, d):
+    """Suppliers and parts, both ways; the weight is the least price in cents over all lineitems of the pair."""
+    edges = supplier_part(spark, d).select("src", "dst", F.round(F.col("w") * 100).cast("bigint").alias("w"))
+    return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+def _weighted_sql(rounds: int, sources: str) -> str:
+    text = f"""o AS (SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, min(round(l_extendedprice * 100)::BIGINT) AS w FROM lineitem GROUP BY 1, 2),
+a AS MATERIALIZED (SELECT s AS src, p AS dst, w FROM o UNION ALL SELECT p, s, w FROM o),
+d0 AS MATERIALIZED (SELECT DISTINCT src AS source, src AS node, {{'d': 0::BIGINT, 'h': 0, 'p': NULL::VARCHAR}} AS l FROM a WHERE src IN ({sources}))"""
+    for i in range(1, rounds + 1):
+        text += f""",
+d{i} AS MATERIALIZED (SELECT source, node, arg_min(l, (l.d, l.h, COALESCE(l.p, ''))) AS l FROM (SELECT * FROM d{i - 1} UNION ALL
+  SELECT source, dst, {{'d': l.d + w, 'h': l.h + 1, 'p': src}} FROM d{i - 1} JOIN a ON src = node) GROUP BY 1, 2)"""
+    return text + f""",
+best AS MATERIALIZED (SELECT source, node, l.d AS dist, l.h::BIGINT AS hops, l.p AS parent FROM d{rounds})"""
+
+
+_SOURCES = [f"s{i}" for i in range(1, 11)]
+_WEIGHTED = _weighted_sql(30, ", ".join(f"'{s}'" for s in _SOURCES))
+
+
+def weighted_tree(spark, d):
+    starts = spark.createDataFrame([(s,) for s in _SOURCES], "id string")
+    links = trade_links(spark, d)
+    return traverse.weighted_levels(links, starts.join(links.select(F.col("src").alias("id")), "id", "left_semi"))
+
+
+@query("weighted_levels", "WITH " + _WEIGHTED + " SELECT * FROM best")
+def _(spark, d):
+    return weighted_tree(spark, d).withColumn("hops", F.col("hops").cast("bigint"))
+
+
+@query("weighted_paths", "WITH RECURSIVE " + _WEIGHTED + """,
+t(source, node, path) AS (SELECT source, node, node FROM best WHERE parent IS NULL UNION ALL
+  SELECT best.source, best.node, t.path || '-' || best.node FROM t JOIN best ON best.source = t.source AND best.parent = t.node)
+SELECT source, node, dist, path FROM t JOIN best USING (source, node) WHERE node LIKE 's%'""")
+def _(spark, d):
+    tree = materialize(weighted_tree(spark, d), "weighted")
+    paths = traverse.walk_parents(tree, tree.filter(F.startswith("node", F.lit("s"))).select("source", "node"))
+    return paths.join(tree, ["source", "node"]).select("source", "node", "dist", F.array_join("path", "-").alias("path"))
+
+
 @query("find_path", "WITH RECURSIVE " + _HOPS + """
 SELECT source, node, level AS hops FROM hop WHERE source = (SELECT min(id) FROM node) AND node = (SELECT max(id) FROM node)""")
 def _(spark, d):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomline.session import discard, materialize, materialize_some
@@ -99,6 +99,61 @@ def shortest_distances(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame,
     return state.drop("round"), True
 
 
+def weighted_levels(edges: DataFrame, starts: DataFrame, width=None) -> DataFrame:
+    """(source, node, dist, hops, parent): least weight, then fewest hops, then the smallest parent.
+
+    ``edges`` are directed (src, dst, w) of weights that are not negative (else ValueError; NULL weights are no edges),
+    ``starts`` has ``id``; integers and decimals stay exact. Only nodes whose distance is less than ``width`` (by default the mean weight)
+    beyond the nearest waiting one relax their edges. Labels are changed by small tables beside the base table, which are
+    merged into it when there are eight, so a round costs what moves and one scan of the labels.
+    """
+    hops = materialize(edges.filter("w is not null and src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")), "hops")
+    least, mean = hops.agg(F.min("w"), F.avg("w")).first()
+    if least is not None and least < 0:
+        raise ValueError("negative weights need shortest_distances")
+    width = width or mean or 1
+    zero = F.lit(0).cast(hops.schema["w"].dataType)
+    names = ["source", "node", "dist", "hops", "parent"]
+    first = starts.select(F.col("id").alias("source"), F.col("id").alias("node"), zero.alias("dist"), F.lit(0).alias("hops"),
+                          F.when(F.lit(False), F.col("id")).alias("parent")).distinct()
+    labels = [materialize(first, "labels")]
+    waiting, nearest = _waiting(labels[0])
+    while nearest is not None:
+        near = F.col("dist") < F.lit(nearest) + F.lit(width)
+        moved = waiting.filter(near).select("source", F.col("node").alias("src"), "dist", "hops")
+        offer = F.min(F.struct((F.col("dist") + F.col("w")).cast(hops.schema["w"].dataType).alias("dist"),
+                               (F.col("hops") + 1).alias("hops"), F.col("src").alias("parent"))).alias("_o")
+        offers = moved.join(hops, "src").groupBy("source", F.col("dst").alias("node")).agg(offer)
+        offers = materialize(offers.select("source", "node", "_o"), "offers")
+        known = reduce(DataFrame.unionByName, labels).select("source", "node", F.struct("dist", "hops", "parent").alias("_k"))
+        kept = known.join(offers, ["source", "node"]).filter("_k <= _o").select("source", "node").distinct()
+        better = materialize(offers.join(kept, ["source", "node"], "left_anti").select("source", "node", "_o.*"), "labels")
+        discard(offers)
+        rest = waiting.filter(~near).join(better, ["source", "node"], "left_anti")
+        before = waiting
+        waiting, nearest = _waiting(rest.select(names).unionByName(better.select(names)))
+        discard(before)
+        labels.append(better)
+        if len(labels) > 8:
+            merged = materialize(_best_labels(labels), "labels")
+            discard(*labels)
+            labels = [merged]
+    return _best_labels(labels)
+
+
+def _waiting(rows: DataFrame) -> tuple[DataFrame, object]:
+    """The written rows and their least distance (None if there are no rows)."""
+    seen = Observation()
+    written = materialize(rows.observe(seen, F.min("dist").alias("nearest")), "waiting")
+    return written, seen.get["nearest"]
+
+
+def _best_labels(tables: list[DataFrame]) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, tables)
+    best = rows.groupBy("source", "node").agg(F.min(F.struct("dist", "hops", "parent")).alias("_l"))
+    return best.select("source", "node", "_l.dist", "_l.hops", "_l.parent")
+
+
 def all_simple_paths(edges: DataFrame, start, end, max_hops: int | None = None) -> DataFrame:
     """Every path (array) without a repeated node, of at most ``max_hops`` edges if that is given."""
     hops = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "hops")

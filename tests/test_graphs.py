@@ -303,3 +303,35 @@ def test_edge_checks(spark):
     edges = spark.createDataFrame([("a", "b", -1.0), ("a", "a", 1.0), ("", "b", 1.0), ("a", "b", 2.0)], "src string, dst string, w double")
     assert {r.finding for r in quality.graph_findings(edges).collect()} == {"negative weight", "self-loop", "empty id"}
     assert quality.valid_edges(edges).count() == 1
+
+
+def cheapest(edges, source):
+    """Least (weight, hops) and smallest parent by relaxing until nothing changes."""
+    best, changed = {source: (0, 0, "")}, True
+    while changed:
+        changed = False
+        for a, b, w in edges:
+            if a != b and w is not None and a in best:
+                offer = (best[a][0] + w, best[a][1] + 1, a)
+                if b not in best or offer < best[b]:
+                    best[b], changed = offer, True
+    return {(source, n, d, h, p or None) for n, (d, h, p) in best.items()}
+
+
+@pytest.mark.parametrize("width", [None, 3])
+def test_weighted_levels(spark, width):
+    rng = random.Random(7)
+    edges = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice([0, 0, 1, 2, 5, 40, None])) for _ in range(150)]
+    edges += edges[:10] + [("n0", "n0", 0), ("x", "y", 3)]
+    table = spark.createDataFrame(edges, "src string, dst string, w long")
+    starts = spark.createDataFrame([("n0",), ("n1",), ("n1",), ("alone",)], "id string")
+    found = {tuple(r) for r in traverse.weighted_levels(table, starts, width).select("source", "node", "dist", "hops", "parent").collect()}
+    assert found == cheapest(edges, "n0") | cheapest(edges, "n1") | {("alone", "alone", 0, 0, None)}
+
+
+def test_weighted_levels_of_nothing_and_negative_weights(spark):
+    starts = spark.createDataFrame([(1,)], "id long")
+    none = spark.createDataFrame([], "src long, dst long, w double")
+    assert [tuple(r) for r in traverse.weighted_levels(none, starts).collect()] == [(1, 1, 0.0, 0, None)]
+    with pytest.raises(ValueError):
+        traverse.weighted_levels(spark.createDataFrame([(1, 2, -1.0)], none.schema), starts)
