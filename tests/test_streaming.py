@@ -59,6 +59,39 @@ def test_delayed_release_stream(spark, log_dir):
     assert len(got) == len(set(got)) and due <= set(got)
 
 
+def test_late_rows_run_in_their_place(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
+    rng, folder, files = random.Random(3), scratch_path(spark, "late"), [[], [], [], []]
+    for i in range(200):
+        clock = i * 2 + 1  # Spark drops times up to the first watermark, zero
+        row = (i, rng.choice(["u", "v"]), rng.choice(["view", "click", "error", None]), rng.choice([2**53 + 1, None]), clock * SECOND)
+        files[min(2, clock // 150 + rng.randint(0, 1))].append(row)
+    files[3] = [(999, "end", "view", 1, 10_000 * SECOND)]
+    for rows in files:
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "event_id long, user string, event_type string, big long, t long")
+        df.withColumn("ts", F.timestamp_micros("t")).coalesce(1).write.mode("append").parquet(folder)
+    made = steps.state_transitions([("view", "click"), ("click", "error"), ("error", "view")], "view")
+    order = ["t", "event_id"]
+    live = stateful.stream_steps(stream_of(spark, folder), "state_transitions", ["user"], order, ["event_type"], made, "ts", "400 seconds")
+    batch = stateful.run_steps(spark.read.parquet(folder), "state_transitions", ["user"], order, ["event_type"], made).filter("user <> 'end'")
+    got = rows_of(flow.run_append(live).filter("user <> 'end'").select(batch.columns))
+    assert len(got) == 200 and got == rows_of(batch)
+
+
+def test_many_delayed_items_of_one_key(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
+    folder, n = scratch_path(spark, "delayed"), 10_000
+    items = spark.range(n).select(
+        F.lit("k").alias("user"), (F.col("id") + 2**53 + 1).alias("big"), F.when(F.col("id") % 2 == 0, "x").alias("text"),
+        F.timestamp_micros(F.col("id") * 10 + SECOND).alias("ts"), ((n - F.col("id")) * SECOND).alias("release_us"))
+    items.coalesce(1).write.parquet(folder)
+    late = spark.createDataFrame([("k", 1, "end")], "user string, big long, text string")
+    late = late.withColumns({"ts": F.timestamp_micros(F.lit(10**12)), "release_us": F.lit(10**15)})
+    late.coalesce(1).write.mode("append").parquet(folder)
+    out = flow.run_append(stateful.stream_delayed_release(stream_of(spark, folder), ["user"], "ts", "release_us"))
+    assert rows_of(out) == rows_of(items.drop("ts"))
+
+
 def test_dedup_counters_and_rate_streams(spark, log_dir):
     twice = stream_of(spark, log_dir).unionByName(stream_of(spark, log_dir))
     assert flow.run_append(flow.stream_deduplicate(twice, ["event_id"])).count() == 180
