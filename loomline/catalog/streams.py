@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomline.catalog.registry import query
 from loomline.operators import filters, reshape
 from loomline.session import read_written, scratch_path
-from loomline.streaming import flow, stateful
+from loomline.streaming import flow, stateful, watch
 from loomline.tables import load, micros
 
 _CALLS = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"""
@@ -163,6 +163,19 @@ def _(spark, d):
     return flow.file_changes(before, after.unionByName(fresh))
 
 
+@query("file_change_stream", """
+SELECT lang, 1 AS version, 'created' AS change, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM documents GROUP BY 1
+UNION ALL SELECT lang, 2, 'created', CAST(sum(strlen(text) + 1) AS BIGINT) FROM documents WHERE source = (SELECT min(source) FROM documents) GROUP BY 1""")
+def _(spark, d):
+    docs = load(spark, d, "documents")
+    folder, listings, out, ckpt = [scratch_path(spark, label) for label in ("watched", "listings", "changes", "ckpt")]
+    least = docs.agg(F.min("source").alias("source"))
+    for rows in (docs, docs.join(least, "source", "left_semi")):
+        rows.select("lang", "text").write.mode("append").partitionBy("lang").text(folder)
+        found = flow.run_append(watch.file_change_stream(spark, folder, listings, "*.txt"), out, ckpt)
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "version", "change").agg(F.sum("size").alias("size"))
+
+
 @query("incremental_resume", """
 SELECT CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS run, 'doc/' || doc_id AS path, length(text) AS size FROM documents
 UNION ALL SELECT 3, 'doc/' || doc_id, length(text) + 1 FROM documents WHERE doc_id % 100 = 5""")

@@ -173,3 +173,31 @@ def test_sources_round_trip(spark):
     assert whole.count() == 1 and readers.read_file_tree(spark, path + "/json", "*.txt").first().kind == "txt"
     assert readers.files_per_kind(readers.read_file_tree(spark, path, "*.txt", with_hash=False)).first().files == 2
     assert readers.read_file_contents(spark, path + "/xml", "*.txt").first().content.startswith("<r>")
+
+
+def test_file_changes_as_a_stream(spark, tmp_path):
+    import os
+
+    from loomline.streaming.watch import file_change_stream
+    folder, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    listings, seen = (tmp_path / "listings").as_uri(), set()
+
+    def changes():
+        got = flow.run_append(file_change_stream(spark, folder.as_uri(), listings, "*.txt"), out, ckpt)
+        rows = {(r.path, r.change, r.version) for r in got.collect()}
+        assert got.count() == len(rows)
+        fresh, _ = rows - seen, seen.update(rows)
+        return fresh
+
+    assert changes() == set()
+    (folder / "deep").mkdir(parents=True)
+    for name in ("a.txt", "b.txt", "deep/c.txt", "skip.csv"):
+        (folder / name).write_text(name)
+    assert changes() == {("a.txt", "created", 1), ("b.txt", "created", 1), ("deep/c.txt", "created", 1)}
+    assert changes() == set()
+    os.utime(folder / "a.txt", ns=(1, 1))
+    (folder / "b.txt").unlink()
+    (folder / "d.txt").write_text("")
+    assert changes() == {("a.txt", "modified", 2), ("b.txt", "deleted", 2), ("d.txt", "created", 2)}
+    (folder / "b.txt").write_text("again")
+    assert changes() == {("b.txt", "created", 3)}
