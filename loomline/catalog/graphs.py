@@ -218,7 +218,8 @@ _WEIGHTED = _weighted_sql(30, ", ".join(f"'{s}'" for s in _SOURCES))
 def weighted_tree(spark, d):
     starts = spark.createDataFrame([(s,) for s in _SOURCES], "id string")
     links = trade_links(spark, d)
-    return traverse.weighted_levels(links, starts.join(links.select(F.col("src").alias("id")), "id", "left_semi"))
+    there = supplier_part(spark, d).select(F.col("src").alias("id")).join(starts, "id", "left_semi").distinct()
+    return traverse.weighted_levels(links, there)
 
 
 @query("weighted_levels", "WITH " + _WEIGHTED + " SELECT * FROM best")

@@ -105,10 +105,14 @@ def weighted_levels(edges: DataFrame, starts: DataFrame, width=None) -> DataFram
     ``edges`` are directed (src, dst, w) of weights that are not negative (else ValueError; NULL weights are no edges),
     ``starts`` has ``id``; integers and decimals stay exact. Only nodes whose distance is less than ``width`` (by default the mean weight)
     beyond the nearest waiting one relax their edges. Labels are changed by small tables beside the base table, which are
-    merged into it when there are eight, so a round costs what moves and one scan of the labels.
+    merged into it when there are eight, so a round costs what moves and one scan of the labels. The edges of a node are
+    looked up once, when it first moves, and kept apart: only rounds that reach new nodes read all edges, and edges out of
+    sight of the starts are never grouped.
     """
-    hops = materialize(edges.filter("w is not null and src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")), "hops")
-    least, mean = hops.agg(F.min("w"), F.avg("w")).first()
+    told = Observation()
+    hops = edges.filter("w is not null and src <> dst").select("src", "dst", "w")
+    hops = materialize(hops.observe(told, F.min("w").alias("least"), F.avg("w").alias("mean")), "hops")
+    least, mean = told.get["least"], told.get["mean"]
     if least is not None and least < 0:
         raise ValueError("negative weights need shortest_distances")
     width = width or mean or 1
@@ -118,12 +122,23 @@ def weighted_levels(edges: DataFrame, starts: DataFrame, width=None) -> DataFram
                           F.when(F.lit(False), F.col("id")).alias("parent")).distinct()
     labels = [materialize(first, "labels")]
     waiting, nearest = _waiting(labels[0])
+    near_hops, passed = [], []
     while nearest is not None:
         near = F.col("dist") < F.lit(nearest) + F.lit(width)
         moved = waiting.filter(near).select("source", F.col("node").alias("src"), "dist", "hops")
+        fresh = moved.select("src").distinct()
+        if passed:
+            fresh = fresh.join(reduce(DataFrame.unionByName, passed), "src", "left_anti")
+        fresh, some = materialize_some(fresh, "passed")
+        if some:
+            passed.append(fresh)
+            near_hops.append(materialize(hops.join(fresh, "src").groupBy("src", "dst").agg(F.min("w").alias("w")), "hops"))
+            if len(passed) > 8:
+                passed, near_hops = [_one_table(passed, "passed")], [_one_table(near_hops, "hops")]
         offer = F.min(F.struct((F.col("dist") + F.col("w")).cast(hops.schema["w"].dataType).alias("dist"),
                                (F.col("hops") + 1).alias("hops"), F.col("src").alias("parent"))).alias("_o")
-        offers = moved.join(hops, "src").groupBy("source", F.col("dst").alias("node")).agg(offer)
+        around = reduce(DataFrame.unionByName, near_hops) if near_hops else hops
+        offers = moved.join(around, "src").groupBy("source", F.col("dst").alias("node")).agg(offer)
         offers = materialize(offers.select("source", "node", "_o"), "offers")
         known = reduce(DataFrame.unionByName, labels).select("source", "node", F.struct("dist", "hops", "parent").alias("_k"))
         kept = known.join(offers, ["source", "node"]).filter("_k <= _o").select("source", "node").distinct()
@@ -138,9 +153,17 @@ def weighted_levels(edges: DataFrame, starts: DataFrame, width=None) -> DataFram
             merged = materialize(_best_labels(labels), "labels")
             discard(*labels)
             labels = [merged]
+    discard(hops, *near_hops, *passed)
     return _best_labels(labels)
 
 
+def _one_table(tables: list[DataFrame], label: str) -> DataFrame:
+    """The rows of all the tables as one written table; the tables go."""
+    whole = materialize(reduce(DataFrame.unionByName, tables), label)
+    discard(*tables)
+    return whole
+
+
 def _waiting(rows: DataFrame) -> tuple[DataFrame, object]:
     """The written rows and their least distance (None if there are no rows)."""
     seen = Observation()

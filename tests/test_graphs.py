@@ -335,3 +335,15 @@ def test_weighted_levels_of_nothing_and_negative_weights(spark):
     assert [tuple(r) for r in traverse.weighted_levels(none, starts).collect()] == [(1, 1, 0.0, 0, None)]
     with pytest.raises(ValueError):
         traverse.weighted_levels(spark.createDataFrame([(1, 2, -1.0)], none.schema), starts)
+
+
+def test_only_edges_in_sight_are_grouped(spark, monkeypatch):
+    tables, plain = [], traverse.materialize
+    monkeypatch.setattr(traverse, "materialize", lambda df, label="t", *a: tables.append((label, plain(df, label, *a))) or tables[-1][1])
+    monkeypatch.setattr(traverse, "discard", lambda *_: None)
+    far = [(f"x{k}", f"y{k}", 1) for k in range(50)]
+    table = spark.createDataFrame([("a", "b", 3), ("a", "b", 2), ("b", "c", 1), *far], "src string, dst string, w long")
+    found = traverse.weighted_levels(table, spark.createDataFrame([("a",)], "id string")).collect()
+    assert {(r.node, r.dist) for r in found} == {("a", 0), ("b", 2), ("c", 3)}
+    grouped = [t for label, t in tables if label == "hops"][1:]
+    assert grouped and sum(t.count() for t in grouped) == 2
