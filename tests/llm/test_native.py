@@ -97,6 +97,16 @@ def test_license_notices_wrapped_over_lines(spark):
     assert sum(given.values()) > 40 and len(given) > 5
 
 
+def test_license_blocks_without_the_rarest_word_are_listed(spark):
+    texts = ["mit mit", "released under the old license", "Released under the MIT license", "under the old sea", "released license " * 3]
+    found = by_id(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA), templates={"mit": "released under the mit license"}))
+    blocks = {(d, b["at"], b.share, b.rarest) for d in found for b in found[d]["blocks"]}
+    assert {(1, 0, 0.8, False), (2, 0, 1.0, True)} <= blocks and {d for d, *_ in blocks} == {1, 2}
+    assert [found[d]["labels"] for d in range(5)] == ["", "", "mit", "", ""]
+    check_licenses(found := by_id(licenses.license_scan(docs := spark.createDataFrame(list(enumerate(texts)), SCHEMA))), list(enumerate(texts)))
+    assert [found[d]["labels"] for d in found] == [r.labels for r in sorted(licenses.license_scan(docs, common=False).collect(), key=lambda r: r.doc_id)]
+
+
 def test_clashing_names_and_filters_on_results(spark):
     names = ["doc_id", "text", "measures", "_measures", "scan", "_m", "_text", "_base", "_blocks", "_n_words", "Kept `x`"]
     docs = spark.createDataFrame([(1, "Released under the MIT License. " * 20, *range(9))], names)
