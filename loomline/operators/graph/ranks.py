@@ -4,36 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.graph.traverse import bfs_levels
 from loomline.session import discard, materialize, materialize_some, shuffle_width
 
+#: Ends in one list of a node's edges.
+CHUNK = 4096
+
 
 def pagerank(nodes: DataFrame, adjacency: DataFrame, damping: float = 0.85, iterations: int = 100,
              write_every: int = 5) -> DataFrame:
     """(id, rank). Rank of nodes without out-edges is lost; parallel edges count in
     the out-degree but pass rank once.
 
-    The edge table is cached hash-partitioned by source node, the layout in which
-    each round's sums arrive, so a round shuffles only its map-side combined sums.
-    Lineage is cut every few rounds.
+    A node's edges are lists of at most ``CHUNK`` ends, cached hash-partitioned and sorted by source node, the layout in
+    which each round's sums arrive: a round joins a row for each list, sorts no edges and shuffles only its map-side
+    combined sums. Lineage is cut every few rounds.
     """
     nodes = materialize(nodes.select("id"), "nodes")
     n = nodes.count()
     if n == 0 or iterations < 1:
         return nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    outs = adjacency.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
-    shares = adjacency.select("src", "dst").distinct().join(outs, "src").select(
-        "src", "dst", (F.lit(damping) / F.col("_out")).alias("share"))
-    stored = materialize(shares, "shares")
-    shares = stored.repartition(shuffle_width(nodes.sparkSession), "src").persist()
+    width = shuffle_width(nodes.sparkSession)
+    # rows of one partition in the order of src: numbers within it cut the edges of a node into lists of bounded length
+    pairs = adjacency.filter("src IS NOT NULL").repartition(width, "src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.sortWithinPartitions("src").select("src", F.struct("dst").alias("to"), "n", F.floor(F.monotonically_increasing_id() / CHUNK).alias("chunk"))
+    lists = pairs.groupBy("src", "chunk").agg(F.collect_list("to").alias("ends"), F.sum("n").alias("n"))
+    lists = lists.select("src", "ends", (F.lit(damping) / F.sum("n").over(Window.partitionBy("src"))).alias("share"))
+    stored = materialize(lists, "shares")
+    shares = stored.repartition(width, "src").sortWithinPartitions("src").persist()
     base = nodes.select("id", F.lit((1 - damping) / n).alias("part"))
     ranks, written = nodes.select("id", F.lit(1.0 / n).alias("rank")), None
     for turn in range(1, iterations + 1):
         passed = ranks.join(shares, ranks["id"] == shares["src"]).select(
-            F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("part"))
+            F.explode("ends").alias("to"), (F.col("rank") * F.col("share")).alias("part")).select(F.col("to.dst").alias("id"), "part")
         ranks = passed.unionByName(base).groupBy("id").agg(F.sum("part").alias("rank"))
         if turn % write_every == 0 or turn == iterations:
             last, ranks = written, materialize(ranks, "ranks")

@@ -347,3 +347,14 @@ def test_only_edges_in_sight_are_grouped(spark, monkeypatch):
     assert {(r.node, r.dist) for r in found} == {("a", 0), ("b", 2), ("c", 3)}
     grouped = [t for label, t in tables if label == "hops"][1:]
     assert grouped and sum(t.count() for t in grouped) == 2
+
+
+def test_pagerank_of_a_hub_in_several_lists(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "CHUNK", 4)
+    rows = [("hub", f"n{k}") for k in range(30)] + [(f"n{k}", "hub") for k in range(30)] + [("hub", "n1"), ("n2", None)]
+    rank = {r.id: r["rank"] for r in ranks.pagerank(spark.createDataFrame([(x,) for x in {a for a, _ in rows}], "id string"),
+                                                    spark.createDataFrame(rows, "src string, dst string"), iterations=2).collect()}
+    first = {"hub": 0.15 / 31 + 0.85 / 31 * 29.5, "n1": 0.15 / 31 + 0.85 / 31 / 31, "n2": 0.15 / 31 + 0.85 / 31 / 31}
+    assert abs(rank["n1"] - (0.15 / 31 + 0.85 * first["hub"] / 31)) < 1e-12
+    assert abs(rank["hub"] - (0.15 / 31 + 0.85 * (29 * first["n1"] + first["n2"] / 2))) < 1e-12
+    assert abs(rank[None] - 0.85 * first["n2"] / 2) < 1e-12
