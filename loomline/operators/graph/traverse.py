@@ -195,28 +195,79 @@ def all_simple_paths(edges: DataFrame, start, end, max_hops: int | None = None)
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component = smallest node id; direction is ignored.
 
-    Alternating large-star and small-star rounds (O(log^2 n) of them); minima are
-    map-side combined aggregates joined back, never lists of neighbours.
+    The components of a few links of each node (its least and greatest neighbour above and below it) are found first. They
+    hold together most of what all links do, so of all links, whose ends are then replaced by their components once, only
+    those between different ones go on. Minima are map-side combined aggregates, never lists of neighbours.
     """
-    links = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    links = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     links = materialize(links, "links")
-    while True:
-        sym = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = sym.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.filter("u <> v").distinct(), "links")
-        discard(links)
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        small = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        links = materialize(small, "links")
-        discard(large)
-        # a star forest: one parent per node, and no parent has a parent
-        several = links.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("u")
-        chained = links.select(F.col("v").alias("u")).join(links.select("u"), "u", "left_semi")
-        if several.unionByName(chained).isEmpty():
-            break
-    return nodes.join(links.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+    above = links.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("z")).select("u", F.explode(F.array("a", "z")).alias("v"))
+    below = links.groupBy("v").agg(F.min("u").alias("a"), F.max("u").alias("z")).select(F.explode(F.array("a", "z")).alias("u"), "v")
+    few, some = materialize_some(above.unionByName(below).distinct(), "few")
+    heads = None
+    if some:
+        heads = _merged(few)
+        rest, more = materialize_some(_between(links, heads), "links")
+        if more:
+            heads = _followed(heads, _merged(rest))
+        else:
+            discard(rest)
+    else:
+        discard(few)
+    discard(links)
+    if heads is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    return nodes.join(heads, "id", "left").select("id", F.coalesce("head", "id").alias("component"))
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """(id, head) of every node that is not the smallest of its component under ``links`` (u > v), a written table that goes.
+
+    Each round every node hooks on its least neighbour if that is smaller, hooks are followed to their end by pointer
+    doubling, and links between different heads go on. Whatever has a link is merged within two rounds, so the rounds are
+    logarithmic in the number of nodes.
+    """
+    heads, more = None, True
+    while more:
+        hooks, moving = materialize(links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("head")), "heads"), True
+        while moving:
+            up = hooks.select(F.col("id").alias("_id"), F.col("head").alias("_head"))
+            jumped = hooks.join(up, F.col("head") == F.col("_id"), "left").select(
+                "id", F.coalesce("_head", "head").alias("head"), F.col("_head").isNotNull().alias("moved"))
+            before = hooks
+            hooks, moving = materialize_some(jumped, "heads", F.col("moved"))
+            discard(before)
+            hooks = _kept(hooks, "id", "head")
+        before = links
+        links, more = materialize_some(_between(links, hooks), "links")
+        discard(before)
+        heads = hooks if heads is None else _followed(heads, hooks)
+    discard(links)
+    return heads
+
+
+def _kept(table: DataFrame, *names: str) -> DataFrame:
+    """Columns of a written table, which can still be discarded."""
+    kept = table.select(*names)
+    kept._scratch_path = table._scratch_path
+    return kept
+
+
+def _between(links: DataFrame, heads: DataFrame) -> DataFrame:
+    """The different links (u > v) between different heads."""
+    for end in ("u", "v"):
+        own = heads.select(F.col("id").alias(end), F.col("head").alias(f"_{end}"))
+        links = links.join(own, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).select("u", "v")
+    return links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _followed(heads: DataFrame, hooks: DataFrame) -> DataFrame:
+    """``heads`` led on by the ``hooks`` of some of them, written; both tables go."""
+    on = hooks.select(F.col("id").alias("_id"), F.col("head").alias("_head"))
+    moved = heads.join(on, F.col("head") == F.col("_id"), "left").select("id", F.coalesce("_head", "head").alias("head"))
+    whole = materialize(moved.unionByName(hooks), "heads")
+    discard(heads, hooks)
+    return whole
 
 
 def is_connected(nodes: DataFrame, edges: DataFrame) -> bool:

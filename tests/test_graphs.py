@@ -349,6 +349,19 @@ def test_only_edges_in_sight_are_grouped(spark, monkeypatch):
     assert grouped and sum(t.count() for t in grouped) == 2
 
 
+def test_components_merge_all_links_after_a_few(spark, monkeypatch):
+    rng, rounds, plain = random.Random(3), [], traverse._merged
+    monkeypatch.setattr(traverse, "_merged", lambda links: rounds.append(links.count()) or plain(links))
+    # dense blocks: a few links of each node hold them together, so no other link is worked on
+    edges = [(b * 100 + rng.randrange(60), b * 100 + rng.randrange(60)) for b in range(3) for _ in range(1500)]
+    edges += [(1000 + k, 1001 + k) for k in range(40)] + [(5, None), (7, 7)]
+    table = spark.createDataFrame(edges, "src long, dst long")
+    adj = adjacency_of((a, b) for a, b in edges if b is not None)
+    found = {r.id: r.component for r in traverse.connected_components(spark.createDataFrame([(x,) for x in adj], "id long"), table).collect()}
+    assert found == {x: min(reach(adj, x)) for x in adj}
+    assert sum(rounds) <= 4 * len(adj)
+
+
 def test_pagerank_of_a_hub_in_several_lists(spark, monkeypatch):
     monkeypatch.setattr(ranks, "CHUNK", 4)
     rows = [("hub", f"n{k}") for k in range(30)] + [(f"n{k}", "hub") for k in range(30)] + [("hub", "n1"), ("n2", None)]
