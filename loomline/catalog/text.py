@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomline.catalog.registry import query
 from loomline.functions import documents as doc
 from loomline.functions import scalars, text
+from loomline.session import shuffle_width
 from loomline.tables import load
 
 
@@ -210,7 +211,9 @@ def source_files(spark, d):
         kind, F.lit(" part"), i, F.lit(";\n};\nstruct Rec"), i, F.lit(" { int size; "), F.when(F.col("p_size") % 2 == 0, "char* tag; ").otherwise(""),
         F.lit("double price; };\nclass Plain"), (F.col("p_partkey") % 50).cast("string"), F.lit(" { };\nvoid run"), i, F.lit("(int a) { SQLExecDirect(h, \"SELECT size FROM parts WHERE id = "),
         F.col("p_size").cast("string"), F.lit("\"); }\n"), F.when(F.col("p_size") % 5 == 0, '// prints sheet.rpt\n').otherwise(""))
-    return load(spark, d, "part").select(F.concat(F.lit("src/p"), i, F.lit(".h")).alias("path"), body.alias("content"))
+    # the rows of a small file become texts that are long work, so they are dealt to as many tasks as a shuffle has
+    parts = load(spark, d, "part").repartition(shuffle_width(spark), "p_partkey")
+    return parts.select(F.concat(F.lit("src/p"), i, F.lit(".h")).alias("path"), body.alias("content"))
 
 
 @query("source_code_facts_job", """

@@ -188,3 +188,11 @@ def test_python_functions(spark):
     assert df.filter(udf.predicate(lambda v: 1 / v > 0.5)("v")).count() == 1
     best = udf.aggregate_function(df, ["k"], lambda g: (int(g["v"].max()),), lambda a, b: (max(a[0], b[0]),), "m bigint")
     assert {r.k: r.m for r in best.collect()} == {"a": 4, "b": 0}
+
+
+def test_source_files_are_dealt_to_many_tasks(spark, tmp_path):
+    from loomline.catalog.text import source_files
+    parts = spark.createDataFrame([(k, f"red box{k}", "TIN", k % 7) for k in range(40)], "p_partkey long, p_name string, p_type string, p_size int")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    files = source_files(spark, str(tmp_path))
+    assert files.count() == 40 and files.select(F.spark_partition_id()).distinct().count() > 1
