@@ -371,3 +371,17 @@ def test_pagerank_of_a_hub_in_several_lists(spark, monkeypatch):
     assert abs(rank["n1"] - (0.15 / 31 + 0.85 * first["hub"] / 31)) < 1e-12
     assert abs(rank["hub"] - (0.15 / 31 + 0.85 * (29 * first["n1"] + first["n2"] / 2))) < 1e-12
     assert abs(rank[None] - 0.85 * first["n2"] / 2) < 1e-12
+
+
+def test_rivals_trim_before_the_shuffle(spark, tmp_path):
+    from loomline.catalog import graphs
+    rows = [(s, p, float(q)) for s, p, q in [(1, 1, 5), (2, 1, 7), (3, 1, 6), (1, 2, 1), (3, 2, 9), (1, 3, 9), (4, 3, 9), (4, 4, 1)]]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made, plain = [], graphs.materialize
+    try:
+        graphs.materialize = lambda df, label="t": made.append((label, df)) or plain(df, label)
+        found = {tuple(r) for r in graphs.supplier_rivals(spark, str(tmp_path)).collect()}
+    finally:
+        graphs.materialize = plain
+    assert found == {(1, 4), (1, 2), (2, 3), (3, 1), (3, 2), (4, 1)}
+    assert "WindowGroupLimit" in dict(made)["rivals"]._jdf.queryExecution().executedPlan().toString()
