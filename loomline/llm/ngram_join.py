@@ -108,8 +108,10 @@ class _Chunk:
 
     def rows(self, chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
         sizes = [len(s) for s in self.sets]
-        shingles = np.concatenate(self.sets) % np.uint64(buckets << 8 * FRAGMENT)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        shingles = np.concatenate(self.sets)
+        self.sets = []  # the sets are not needed beside the one array
+        shingles %= np.uint64(buckets << 8 * FRAGMENT)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         bucket = (shingles % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -135,24 +137,28 @@ _DOCS_DDL = "docs array<struct<doc_id:long,key:binary,n:long>>"
 def _shared_of(table: pa.Table) -> pa.Table:
     """Of one bucket: each chunk's shingles that are in two sets or more, and in how many."""
     rows = table.to_pylist()
-    parts = [_unpack(r["shingles"]) for r in rows]
-    ends = np.cumsum([0, *map(len, parts)])
-    values = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    ends = np.cumsum([0, *(len(r["shingles"]) // FRAGMENT for r in rows)])
+    values = np.empty(ends[-1], np.uint64)
+    for i, r in enumerate(rows):
+        values[ends[i]:ends[i + 1]] = _unpack(r["shingles"])
+        r["shingles"] = None
     order = np.argsort(values, kind="stable")
     ordered = values[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(values) else np.empty(0, np.int64)
+    del ordered
     runs = np.diff(np.r_[starts, len(values)])
-    held = np.empty(len(values), np.int64)
-    held[order] = np.repeat(runs, runs)
+    held = np.empty(len(values), np.uint16)
+    held[order] = np.repeat(np.minimum(runs, 65535).astype(np.uint16), runs)
+    del order, starts, runs
     out = []
     for i, r in enumerate(rows):
         mine = held[ends[i]:ends[i + 1]]
         keep = mine > 1
         if keep.any() or r["docs"] is not None:
             sets = len(zlib.decompress(r["counts"])) // 4
-            out.append({"bucket": r["bucket"], "chunk": r["chunk"], "docs": r["docs"], "shingles": _pack(parts[i][keep]),
+            out.append({"bucket": r["bucket"], "chunk": r["chunk"], "docs": r["docs"], "shingles": _pack(values[ends[i]:ends[i + 1]][keep]),
                         "counts": _counts(np.bincount(_spread(r["counts"])[keep], minlength=sets)),
-                        "held": np.minimum(mine[keep], 65535).astype("<u2").tobytes()})
+                        "held": mine[keep].astype("<u2").tobytes()})
     return pa.Table.from_pylist(out, schema=_SHARED)
 
 
