@@ -107,6 +107,18 @@ def test_license_blocks_without_the_rarest_word_are_listed(spark):
     assert [found[d]["labels"] for d in found] == [r.labels for r in sorted(licenses.license_scan(docs, common=False).collect(), key=lambda r: r.doc_id)]
 
 
+def test_the_query_lists_blocks_without_the_rarest_word(spark, tmp_path, monkeypatch):
+    scanned, plain = [], licenses.license_scan
+    monkeypatch.setattr(licenses, "license_scan", lambda *a, **k: scanned.append(plain(*a, **k)) or scanned[-1])
+    texts = ["released under the old license"] * 3 + ["Released under the MIT license"]
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = by_id(QUERIES["op8_license_scans"](spark, str(tmp_path)))
+    blocks = {(r.doc_id, b["at"], b.label, b.share, b.rarest) for r in scanned[0].collect() for b in r.blocks}
+    assert blocks == {(d, 0, "mit-notice", 0.8, False) for d in range(3)} | {(3, 0, "mit-notice", 1.0, True), (3, 1, "mit-notice", 0.8, True)}
+    assert [found[d]["labels"] for d in range(4)] == ["", "", "", "mit-notice"]
+    check_licenses(found, list(enumerate(texts)))
+
+
 def test_clashing_names_and_filters_on_results(spark):
     names = ["doc_id", "text", "measures", "_measures", "scan", "_m", "_text", "_base", "_blocks", "_n_words", "Kept `x`"]
     docs = spark.createDataFrame([(1, "Released under the MIT License. " * 20, *range(9))], names)
