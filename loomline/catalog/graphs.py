@@ -221,7 +221,8 @@ _WEIGHTED = _weighted_sql(30, ", ".join(f"'{s}'" for s in _SOURCES))
 def weighted_tree(spark, d):
     starts = spark.createDataFrame([(s,) for s in _SOURCES], "id string")
     links = trade_links(spark, d)
-    there = supplier_part(spark, d).select(F.col("src").alias("id")).join(starts, "id", "left_semi").distinct()
+    suppliers = load(spark, d, "lineitem").select("l_suppkey").distinct().select(F.concat(F.lit("s"), "l_suppkey").alias("id"))
+    there = suppliers.join(starts, "id", "left_semi").distinct()
     return traverse.weighted_levels(links, there)
 
 

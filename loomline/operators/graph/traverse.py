@@ -8,12 +8,15 @@ many edges only makes the edge side skewed, which AQE splits.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from loomline.plans.ordered import with_position
 from loomline.session import discard, materialize, materialize_some
 
 
@@ -49,7 +52,9 @@ def bfs_levels(edges: DataFrame, starts: DataFrame, max_levels: int | None = Non
 def walk_parents(tree: DataFrame, ends: DataFrame) -> DataFrame:
     """(source, node, path) from the root to each end along (source, node, parent)."""
     tree = materialize(tree.select("source", "node", "parent"), "tree")
-    keyed = tree.select("source", F.col("node").alias("_at"), F.col("parent").alias("_up"))
+    # a path passes its end and nodes that have children, in most trees a small part
+    inner = tree.select("source", F.col("parent").alias("node")).distinct()
+    keyed = materialize(tree.join(inner, ["source", "node"], "left_semi").select("source", F.col("node").alias("_at"), F.col("parent").alias("_up")), "tree")
     open_ = tree.join(ends, ["source", "node"], "left_semi").select(
         "source", "node", F.array("node").alias("path"), F.col("parent").alias("_next"))
     done = []
@@ -99,62 +104,234 @@ def shortest_distances(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame,
     return state.drop("round"), True
 
 
+#: Sources whose costs stand side by side in a row, and one more than the hops that fit into a cost kept as one number.
+SLOTS, HOPS = 16, 1 << 16
+#: Labels that are written anew in each round; of more of them only those that became less.
+REWRITTEN = 100_000
+
+
 def weighted_levels(edges: DataFrame, starts: DataFrame, width=None) -> DataFrame:
     """(source, node, dist, hops, parent): least weight, then fewest hops, then the smallest parent.
 
     ``edges`` are directed (src, dst, w) of weights that are not negative (else ValueError; NULL weights are no edges),
-    ``starts`` has ``id``; integers and decimals stay exact. Only nodes whose distance is less than ``width`` (by default the mean weight)
-    beyond the nearest waiting one relax their edges. Labels are changed by small tables beside the base table, which are
-    merged into it when there are eight, so a round costs what moves and one scan of the labels. The edges of a node are
-    looked up once, when it first moves, and kept apart: only rounds that reach new nodes read all edges, and edges out of
-    sight of the starts are never grouped.
+    ``starts`` has ``id``; integers and decimals stay exact. ``edges`` are read a few times, not once for each round: write
+    them first if they are dear to build. Costs are relaxed until nothing changes, first over the edges
+    no heavier than ``width`` (by default about four for each node). What that finds bounds every distance from above and,
+    up to ``width``, from below. Then only the edges count that can keep to these bounds, ties included, and that leave a
+    labelled node; edges out of sight of the starts are never grouped. A row holds the costs of a node from up to ``SLOTS``
+    sources, and a round is one job that writes what became less. Parents are read off the final costs.
     """
-    told = Observation()
     hops = edges.filter("w is not null and src <> dst").select("src", "dst", "w")
-    hops = materialize(hops.observe(told, F.min("w").alias("least"), F.avg("w").alias("mean")), "hops")
-    least, mean = told.get["least"], told.get["mean"]
-    if least is not None and least < 0:
+    weight = hops.schema["w"].dataType
+    whole = isinstance(weight, IntegralType)
+    # weights by sixteenths of their binary logarithm; no other column is read for that
+    scale = F.when(F.col("w") > 0, F.floor(16 * F.log2(F.col("w").cast("double"))))
+    spread = sorted(edges.filter("w is not null").groupBy(scale.alias("scale")).agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("least"), F.max("w").alias("most")).collect(),
+                    key=lambda r: r.most)
+    if spread and min(r.least for r in spread) < 0 and not hops.filter("w < 0").isEmpty():
         raise ValueError("negative weights need shortest_distances")
-    width = width or mean or 1
-    zero = F.lit(0).cast(hops.schema["w"].dataType)
-    names = ["source", "node", "dist", "hops", "parent"]
-    first = starts.select(F.col("id").alias("source"), F.col("id").alias("node"), zero.alias("dist"), F.lit(0).alias("hops"),
-                          F.when(F.lit(False), F.col("id")).alias("parent")).distinct()
-    labels = [materialize(first, "labels")]
-    waiting, nearest = _waiting(labels[0])
-    near_hops, passed = [], []
-    while nearest is not None:
-        near = F.col("dist") < F.lit(nearest) + F.lit(width)
-        moved = waiting.filter(near).select("source", F.col("node").alias("src"), "dist", "hops")
-        fresh = moved.select("src").distinct()
-        if passed:
-            fresh = fresh.join(reduce(DataFrame.unionByName, passed), "src", "left_anti")
+    ids = materialize(starts.select(F.col("id").alias("source")).distinct(), "starts")
+    alone = ids.select("source", F.col("source").alias("node"), F.lit(0).cast(weight).alias("dist"), F.lit(0).alias("hops"),
+                       F.when(F.lit(False), F.col("source")).alias("parent"))
+    if not spread:
+        return alone
+    most = spread[-1].most
+    width = min(_weight_of_few(edges, spread) if width is None else width, most)
+    width = math.floor(width) if whole else width
+    sources = materialize(with_position(ids.filter("source is not null"), ["source"], "_i").select(
+        "source", F.expr(f"_i div {SLOTS}").alias("chunk"), F.expr(f"cast(_i % {SLOTS} as int)").alias("slot")), "sources")
+    # whole weights and hops are kept as one number where no sum of weights can run over it
+    found = _least_costs(hops, sources, width, most, _Packed(weight)) if whole and most < 2**31 else None
+    costs, labels, parents = found or _least_costs(hops, sources, width, most, _Costs(weight))
+    each = [F.struct(F.lit(k).alias("slot"), F.col(f"c{k}").alias("cost"), F.col(f"p{k}").alias("parent")) for k in range(len(labels.columns) - 2)]
+    rows = labels.join(parents, ["chunk", "node"], "left").select("chunk", "node", F.explode(F.array(*each)).alias("_e"))
+    rows = rows.filter("_e.cost is not null").select("chunk", "node", "_e.*").join(sources, ["chunk", "slot"])
+    rows = rows.select("source", "node", F.expr(costs.dist("cost")).cast(weight).alias("dist"), F.expr(costs.hops("cost")).alias("hops"), "parent")
+    return rows.unionByName(alone.filter("source is null"))
+
+
+def _weight_of_few(edges: DataFrame, spread: list):
+    """The weight up to which there are about four edges for each node: the largest of a scale in ``spread``."""
+    nodes, found = edges.agg(F.approx_count_distinct("src").alias("n")).first().n, 0
+    if sum(r.n for r in spread) > 8 * nodes:
+        for r in spread:
+            found += r.n
+            if found >= 4 * nodes:
+                return r.most
+    return spread[-1].most
+
+
+class _Costs:
+    """Costs as structs of a distance and hops, in any type of weight; all methods give SQL, which is quick to build in wide rounds."""
+
+    rounds = None
+
+    def __init__(self, weight):
+        self.weight, self.kind = weight, weight.simpleString()
+
+    def step(self, w: str) -> str:
+        return w
+
+    def start(self) -> str:
+        return f"named_struct('dist', cast(0 as {self.kind}), 'hops', 0)"
+
+    def plus(self, cost: str, step: str) -> str:
+        return f"CASE WHEN {cost} IS NOT NULL THEN named_struct('dist', cast({cost}.dist + {step} as {self.kind}), 'hops', {cost}.hops + 1) END"
+
+    def dist(self, cost: str) -> str:
+        return f"{cost}.dist"
+
+    def hops(self, cost: str) -> str:
+        return f"{cost}.hops"
+
+
+class _Packed(_Costs):
+    """Costs as one long, distance times ``HOPS`` and hops, for fewer than ``HOPS`` rounds and weights below 2^31."""
+
+    rounds = HOPS - 1
+
+    def step(self, w: str) -> str:
+        return f"cast({w} as bigint) * {HOPS} + 1"
+
+    def start(self) -> str:
+        return "0L"
+
+    def plus(self, cost: str, step: str) -> str:
+        return f"{cost} + {step}"
+
+    def dist(self, cost: str) -> str:
+        return f"({cost} div {HOPS})"
+
+    def hops(self, cost: str) -> str:
+        return f"cast({cost} % {HOPS} as int)"
+
+
+def _least_costs(hops: DataFrame, sources: DataFrame, width, most, costs: _Costs):
+    """(``costs``, labels, parents): written tables (chunk, node, c0 ...) and (chunk, node, p0 ...); None if the rounds run out."""
+    count = sources.agg(F.count(F.lit(1)).alias("n")).first().n
+    slots = max(1, min(count, SLOTS))
+    first = materialize(sources.select("chunk", F.col("source").alias("node"), *[
+        F.expr(f"CASE WHEN slot = {k} THEN {costs.start()} END").alias(f"c{k}") for k in range(slots)]), "labels")
+    labels = _Labels(first, count, costs)
+    bar = F.lit(width).cast(costs.weight)
+    few = materialize(hops if width >= most else hops.filter(F.col("w") <= bar), "hops")
+    if not labels.settle(first, count, few):
+        return None
+    discard(few)
+    passed, near = [], []
+    while True:
+        merged = labels.merged()
+        fresh = merged.select("node").distinct()
+        for before in passed:
+            fresh = fresh.join(before, "node", "left_anti")
         fresh, some = materialize_some(fresh, "passed")
-        if some:
-            passed.append(fresh)
-            near_hops.append(materialize(hops.join(fresh, "src").groupBy("src", "dst").agg(F.min("w").alias("w")), "hops"))
-            if len(passed) > 8:
-                passed, near_hops = [_one_table(passed, "passed")], [_one_table(near_hops, "hops")]
-        offer = F.min(F.struct((F.col("dist") + F.col("w")).cast(hops.schema["w"].dataType).alias("dist"),
-                               (F.col("hops") + 1).alias("hops"), F.col("src").alias("parent"))).alias("_o")
-        around = reduce(DataFrame.unionByName, near_hops) if near_hops else hops
-        offers = moved.join(around, "src").groupBy("source", F.col("dst").alias("node")).agg(offer)
-        offers = materialize(offers.select("source", "node", "_o"), "offers")
-        known = reduce(DataFrame.unionByName, labels).select("source", "node", F.struct("dist", "hops", "parent").alias("_k"))
-        kept = known.join(offers, ["source", "node"]).filter("_k <= _o").select("source", "node").distinct()
-        better = materialize(offers.join(kept, ["source", "node"], "left_anti").select("source", "node", "_o.*"), "labels")
-        discard(offers)
-        rest = waiting.filter(~near).join(better, ["source", "node"], "left_anti")
-        before = waiting
-        waiting, nearest = _waiting(rest.select(names).unionByName(better.select(names)))
-        discard(before)
-        labels.append(better)
-        if len(labels) > 8:
-            merged = materialize(_best_labels(labels), "labels")
-            discard(*labels)
-            labels = [merged]
-    discard(hops, *near_hops, *passed)
-    return _best_labels(labels)
+        if not some:
+            break
+        near.append(_near_hops(hops, labels.bounds(count), fresh if passed else None, bar, labels.sizes[0] > 200_000))
+        passed.append(fresh)
+        if width >= most:
+            break  # relaxed over all edges, nothing is left to be found
+        moved, n = labels.relax(merged if len(passed) == 1 else merged.join(fresh, "node", "left_semi"), near[-1])
+        if not labels.settle(moved, n, reduce(DataFrame.unionByName, near)):
+            return None
+        if len(passed) > 8:
+            passed, near = [_one_table(passed, "passed")], [_one_table(near, "hops")]
+    parents = materialize(labels.parents(reduce(DataFrame.unionByName, near)) if near else labels.parents(hops.limit(0)), "parents")
+    discard(*near, *passed)
+    return costs, labels.merged(), parents
+
+
+class _Labels:
+    """The costs found so far: a base table and small tables of what became less, all of (chunk, node, c0 ...)."""
+
+    def __init__(self, first: DataFrame, rows: int, costs: _Costs):
+        self.tables, self.sizes, self.costs, self.turns = [first], [rows], costs, 0
+        self.names = first.columns[2:]
+        self.none = f"cast(null as {first.schema['c0'].dataType.simpleString()})"
+
+    def relax(self, moved: DataFrame, around: DataFrame) -> tuple[DataFrame, int]:
+        """One more hop from the moved rows: what became less, as a new table, and its number of rows."""
+        self.turns += 1
+        offers = moved.join(around.selectExpr("src", "dst as _to", f"{self.costs.step('w')} as _step"), F.col("node") == F.col("src")).selectExpr(
+            "chunk", "_to as node", *[f"{self.none} as {c}" for c in self.names], *[f"{self.costs.plus(c, '_step')} as _{c}" for c in self.names])
+        known = reduce(DataFrame.unionByName, self.tables).selectExpr("chunk", "node", *self.names, *[f"{self.none} as _{c}" for c in self.names])
+        both = known.union(offers).groupBy("chunk", "node").agg(*[F.expr(f"min({c}) as {c}") for c in known.columns[2:]])
+        less = [f"CASE WHEN {c} IS NULL OR _{c} < {c} THEN _{c} END" for c in self.names]
+        some, seen = F.expr(" OR ".join(f"_{c} IS NOT NULL" for c in self.names)), Observation()
+        if sum(self.sizes) <= REWRITTEN:
+            written = both.selectExpr("chunk", "node", *[f"coalesce({x}, {c}) as {c}" for c, x in zip(self.names, less, strict=True)],
+                                      *[f"{x} as _{c}" for c, x in zip(self.names, less, strict=True)])
+            written = materialize(written.observe(seen, F.count_if(some).alias("n"), F.count(F.lit(1)).alias("all")), "labels")
+            discard(*self.tables)
+            self.tables, self.sizes = [_kept(written, "chunk", "node", *self.names)], [seen.get["all"]]
+            return written.filter(some).selectExpr("chunk", "node", *[f"_{c} as {c}" for c in self.names]), seen.get["n"]
+        better = both.selectExpr("chunk", "node", *[f"{x} as _{c}" for c, x in zip(self.names, less, strict=True)]).filter(some)
+        better = materialize(better.toDF("chunk", "node", *self.names).observe(seen, F.count(F.lit(1)).alias("n")), "labels")
+        self.tables.append(better)
+        self.sizes.append(seen.get["n"])
+        if len(self.tables) > 8 or sum(self.sizes[1:-1]) > self.sizes[0]:
+            *old, last = self.tables
+            self.tables = [materialize(self._least(old), "labels"), last]
+            self.sizes = [sum(self.sizes[:-1]), self.sizes[-1]]
+            discard(*old)
+        return better, seen.get["n"]
+
+    def settle(self, moved: DataFrame, n: int, around: DataFrame) -> bool:
+        """Relaxes until nothing changes; False if the rounds run out."""
+        while n:
+            if self.turns == self.costs.rounds:
+                return False
+            moved, n = self.relax(moved, around)
+        return True
+
+    def merged(self) -> DataFrame:
+        """All costs as one written table."""
+        if len(self.tables) > 1:
+            old, self.tables, self.sizes = self.tables, [materialize(self._least(self.tables), "labels")], [sum(self.sizes)]
+            discard(*old)
+        return self.tables[0]
+
+    def _least(self, tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, tables).groupBy("chunk", "node").agg(*[F.min(c).alias(c) for c in self.names])
+
+    def bounds(self, count: int) -> DataFrame:
+        """(node, least, most) distance over all sources; most is NULL for a node that some source has not reached."""
+        found = [F.col(c) for c in self.names]
+        least, most = (F.least(*found), F.greatest(*found)) if len(found) > 1 else (found[0], found[0])
+        reached = reduce(Column.__add__, [c.isNotNull().cast("int") for c in found])
+        rows = self.merged().groupBy("node").agg(F.min(least).alias("least"), F.max(most).alias("most"), F.sum(reached).alias("n"))
+        return materialize(rows.selectExpr("node", f"{self.costs.dist('least')} as least",
+                                           f"CASE WHEN n = {count} THEN {self.costs.dist('most')} END as most"), "bounds")
+
+    def parents(self, around: DataFrame) -> DataFrame:
+        """(chunk, node, p0 ...): the smallest node whose cost and edge make up the cost of the node."""
+        own = self.merged()
+        ends = own.selectExpr("chunk as _chunk", "node as _to", *[f"{c} as _{c}" for c in self.names])
+        pairs = own.join(around.selectExpr("src", "dst as _at", f"{self.costs.step('w')} as _step"), F.col("node") == F.col("src"))
+        pairs = pairs.join(ends, (F.col("_at") == F.col("_to")) & (F.col("chunk") == F.col("_chunk")))
+        fits = [f"{self.costs.plus(c, '_step')} = _{c}" for c in self.names]
+        return pairs.filter(" OR ".join(f"({f})" for f in fits)).groupBy("chunk", F.col("_to").alias("node")).agg(
+            *[F.expr(f"min(CASE WHEN {f} THEN src END) as p{k}") for k, f in enumerate(fits)])
+
+
+def _near_hops(hops: DataFrame, bounds: DataFrame, fresh: DataFrame | None, bar: Column, many: bool) -> DataFrame:
+    """The edges (src, dst, w) from labelled (or only ``fresh``) nodes that can be part of a best path, written.
+
+    ``bounds`` is a table that goes. A distance above ``bar`` may still become less, though not below ``bar``.
+    Of ``many`` labelled nodes the bound at the far end leaves fewer edges than the near end.
+    """
+    into = bounds.select(F.col("node").alias("dst"), "most")
+    out = bounds if fresh is None else bounds.join(fresh, "node", "left_semi")
+    out = out.select(F.col("node").alias("src"), F.least(F.col("least"), bar).cast(bounds.schema["least"].dataType).alias("least"))
+    far = F.col("most").isNull()
+    if many and fresh is None:
+        rows = hops.join(into, "dst", "left").filter(far | (F.col("w") <= F.col("most"))).join(out, "src")
+    else:
+        rows = hops.join(out, "src").join(into, "dst", "left")
+    rows = rows.filter(far | ((F.col("least") + F.col("w")).cast(bounds.schema["least"].dataType) <= F.col("most")))
+    near = materialize(rows.groupBy("src", "dst").agg(F.min("w").alias("w")), "hops")
+    discard(bounds)
+    return near
 
 
 def _one_table(tables: list[DataFrame], label: str) -> DataFrame:
@@ -164,19 +341,6 @@ def _one_table(tables: list[DataFrame], label: str) -> DataFrame:
     return whole
 
 
-def _waiting(rows: DataFrame) -> tuple[DataFrame, object]:
-    """The written rows and their least distance (None if there are no rows)."""
-    seen = Observation()
-    written = materialize(rows.observe(seen, F.min("dist").alias("nearest")), "waiting")
-    return written, seen.get["nearest"]
-
-
-def _best_labels(tables: list[DataFrame]) -> DataFrame:
-    rows = reduce(DataFrame.unionByName, tables)
-    best = rows.groupBy("source", "node").agg(F.min(F.struct("dist", "hops", "parent")).alias("_l"))
-    return best.select("source", "node", "_l.dist", "_l.hops", "_l.parent")
-
-
 def all_simple_paths(edges: DataFrame, start, end, max_hops: int | None = None) -> DataFrame:
     """Every path (array) without a repeated node, of at most ``max_hops`` edges if that is given."""
     hops = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "hops")

@@ -349,6 +349,39 @@ def test_only_edges_in_sight_are_grouped(spark, monkeypatch):
     assert grouped and sum(t.count() for t in grouped) == 2
 
 
+@pytest.mark.parametrize("kind, rewritten, rounds", [("long", 0, None), ("decimal(9,2)", 100, None), ("long", 100, 2)])
+def test_only_edges_within_the_bounds_are_worked_on(spark, monkeypatch, kind, rewritten, rounds):
+    tables, plain = [], traverse.materialize
+    monkeypatch.setattr(traverse, "materialize", lambda df, label="t", *a: tables.append((label, plain(df, label, *a))) or tables[-1][1])
+    monkeypatch.setattr(traverse, "discard", lambda *_: None)
+    monkeypatch.setattr(traverse, "REWRITTEN", rewritten)
+    if rounds:
+        monkeypatch.setattr(traverse._Packed, "rounds", rounds)
+    rng = random.Random(11)
+    # a few light edges reach nearly all nodes; a node behind heavy edges only, twins, loops, ties and no weight
+    edges = [(f"n{a}", f"n{b}", 5 * rng.randrange(1, 4) if abs(a - b) in (1, 7) else 500 + rng.randrange(400)) for a in range(30) for b in range(30)]
+    edges += [("n3", "far", 900), ("far", "further", 700), ("further", "n1", 10), ("n1", "n2", None), ("n4", "n5", 0), ("away", "off", 1)]
+    table = spark.createDataFrame(edges, "src string, dst string, w int").selectExpr("src", "dst", f"cast(w as {kind}) as w")
+    ids = [f"n{k}" for k in range(18)] + [None, None]
+    starts = spark.createDataFrame([(x,) for x in ids], "id string")
+    found = traverse.weighted_levels(table, starts, 20).select("source", "node", "dist", "hops", "parent")
+    assert found.schema["dist"].dataType == table.schema["w"].dataType
+    want = set().union(*[cheapest(edges, x) for x in ids[:18]]) | {(None, None, 0, 0, None)}
+    assert found.count() == len(want) and {tuple(r) for r in found.collect()} == want
+    worked = sum(t.count() for label, t in tables if label == "hops")
+    assert rounds or worked < len(edges) / 2
+
+
+def test_paths_pass_inner_nodes_only(spark, monkeypatch):
+    tables, plain = [], traverse.materialize
+    monkeypatch.setattr(traverse, "materialize", lambda df, label="t", *a: tables.append((label, plain(df, label, *a))) or tables[-1][1])
+    rows = [("a", "a", None), ("a", "b", "a"), ("a", "c", "b"), ("a", "lost", "gone"), *[("a", f"leaf{k}", "b") for k in range(40)]]
+    tree = spark.createDataFrame(rows, "source string, node string, parent string")
+    ends = spark.createDataFrame([("a", "c"), ("a", "a"), ("a", "lost"), ("a", "none")], "source string, node string")
+    assert {(r.node, *r.path) for r in traverse.walk_parents(tree, ends).collect()} == {("c", "a", "b", "c"), ("a", "a")}
+    assert [t for label, t in tables if label == "tree"][-1].count() == 2
+
+
 def test_components_merge_all_links_after_a_few(spark, monkeypatch):
     rng, rounds, plain = random.Random(3), [], traverse._merged
     monkeypatch.setattr(traverse, "_merged", lambda links: rounds.append(links.count()) or plain(links))
